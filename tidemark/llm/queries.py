@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,24 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digest(write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.token_counts import count_tokens
+
+    counted = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), budget=4096)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "fits_chars")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op4_token_output": op4_token_output,
+    "op8_token_counts": op8_token_counts,
+    "op9_license_scan": op9_license_scan,
 }
 SQL = {
     "op2_mix_sources": r"""
