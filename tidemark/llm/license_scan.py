@@ -107,7 +107,11 @@ class Scanner:
             for low, high in _joined(sorted(spans)):
                 for m in self.patterns[notice].finditer(words, low, min(high, len(words))):
                     fuzzy.add((m.start(), m.end(), self.notices[notice], sum(m.fuzzy_counts), notice))
-        return exact, sorted(fuzzy)
+        kept: list = []  # of matches that overlap, those with the fewest edits
+        for m in sorted(fuzzy, key=lambda m: (m[3], m)):
+            if not any(k[0] < m[1] and m[0] < k[1] and k[3] < m[3] for k in kept):
+                kept.append(m)
+        return exact, sorted(kept)
 
 
 def _joined(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:

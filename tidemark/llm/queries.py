@@ -24,6 +24,13 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digest(write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import identify_languages, train_language
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify_languages(docs, train_language(docs))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import count_tokens
 
@@ -40,6 +47,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op4_token_output": op4_token_output,
+    "op5_language": op5_language,
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
 }
