@@ -31,6 +31,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, train_language(docs))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html_extract import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import count_tokens
 
@@ -48,6 +54,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op4_token_output": op4_token_output,
     "op5_language": op5_language,
+    "op7_html_text": op7_html_text,
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
 }
