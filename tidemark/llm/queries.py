@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import curriculum
 
@@ -51,6 +57,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op4_token_output": op4_token_output,
     "op5_language": op5_language,
