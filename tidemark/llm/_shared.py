@@ -80,3 +80,63 @@ def raw_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = col.buffers()[2]
     flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return flat[ends[0] : ends[-1]], ends - ends[0]
+
+
+_RANDOM = np.random.default_rng(20240607).integers(0, 1 << 64, 256 + 16, np.uint64) | np.uint64(1)
+_BASE = int(_RANDOM[256])
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, kept for the next call."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, SLICE_BYTES + 1)
+        made = []
+        for base in (_BASE, _INVERSE):
+            out = np.full(size, base, np.uint64)
+            out[0] = 1
+            made.append(np.multiply.accumulate(out))
+        _powers[:] = made
+    return _powers
+
+
+def mix(values: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def word_hashes(raw: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, and the number of the first word of each text.
+
+    ``raw`` has the texts' bytes, ``bounds`` their boundaries, ``between`` is true for
+    the byte values that separate words.  Hashes are polynomials of the bytes, taken
+    from differences of one running sum.
+    """
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = ~between[raw]
+    first = np.zeros(len(raw) + 1, bool)
+    first[bounds] = True  # a word ends with its text
+    begin = np.flatnonzero(inside[1:] & (~inside[:-1] | first))
+    end = np.flatnonzero(inside[:-1] & (~inside[1:] | first))
+    power, inverse = _power_tables(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_RANDOM[raw] * power[: len(raw)], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)), np.searchsorted(begin, bounds)
+
+
+def shingle_hashes(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every k consecutive words of a text, and the number of each shingle's first word."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out = np.zeros(n, np.uint64)
+    for j in range(k):
+        out += words[j : j + n] * _RANDOM[257 + j]
+    left = np.repeat(firsts[1:], np.diff(firsts)) - np.arange(len(words))  # words from here to the text's end
+    at = np.flatnonzero(left[:n] >= k)
+    return mix(out[at]), at

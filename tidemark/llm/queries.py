@@ -56,6 +56,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tiles")
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -64,6 +70,7 @@ QUERIES = {
     "op7_html_text": op7_html_text,
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
+    "op10_decontaminate": op10_decontaminate,
 }
 SQL = {
     "op2_mix_sources": r"""
