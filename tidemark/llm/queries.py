@@ -37,6 +37,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, train_language(docs))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import judge
+
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1")
+    judged = judge(_table(spark, sf_dir, "documents"), trusted)
+    return judged.select("doc_id", "perplexity", "threshold", "trusted", "kept")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.html_extract import extract_text
 
@@ -67,6 +75,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op4_token_output": op4_token_output,
     "op5_language": op5_language,
+    "op6_quality": op6_quality,
     "op7_html_text": op7_html_text,
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
