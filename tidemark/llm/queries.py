@@ -24,6 +24,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.shingle_join import jaccard_groups
+
+    return jaccard_groups(_table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_output import read_digest, write_tokens
 
@@ -73,6 +79,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_output": op4_token_output,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
