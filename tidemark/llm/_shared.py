@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that an Arrow slice holds at most, unless one row alone has more.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -108,25 +108,35 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts, and the number of the first word of each text.
+def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: polynomials of the bytes, from differences of one running sum."""
+    power, inverse = _power_tables(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_RANDOM[raw] * power[: len(raw)], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
+def word_spans(raw: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of all words of all texts, and the number of the first word of each text.
 
     ``raw`` has the texts' bytes, ``bounds`` their boundaries, ``between`` is true for
-    the byte values that separate words.  Hashes are polynomials of the bytes, taken
-    from differences of one running sum.
+    the byte values that separate words.
     """
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
     inside = np.zeros(len(raw) + 2, bool)
     inside[1:-1] = ~between[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[bounds] = True  # a word ends with its text
     begin = np.flatnonzero(inside[1:] & (~inside[:-1] | first))
     end = np.flatnonzero(inside[:-1] & (~inside[1:] | first))
-    power, inverse = _power_tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_RANDOM[raw] * power[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)), np.searchsorted(begin, bounds)
+    return begin, end, np.searchsorted(begin, bounds)
+
+
+def word_hashes(raw: np.ndarray, bounds: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, and the number of the first word of each text."""
+    begin, end, firsts = word_spans(raw, bounds, between)
+    return span_hashes(raw, begin, end), firsts
 
 
 def shingle_hashes(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,3 +150,46 @@ def shingle_hashes(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.nd
     left = np.repeat(firsts[1:], np.diff(firsts)) - np.arange(len(words))  # words from here to the text's end
     at = np.flatnonzero(left[:n] >= k)
     return mix(out[at]), at
+
+
+class KeyTable:
+    """Open-addressing table of 64-bit keys that numbers them as they come; works on many keys at once."""
+
+    def __init__(self, keys: np.ndarray | None = None):
+        self.keys, self.bits, self.slots = np.zeros(1, np.uint64), 10, np.full(1 << 10, -1, np.int32)
+        if keys is not None:
+            self.add(keys)
+
+    def __len__(self) -> int:
+        return len(self.keys) - 1
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct keys that aren't there yet."""
+        n = len(self)
+        self.keys = np.concatenate([self.keys[:-1], keys.view(np.uint64), np.zeros(1, np.uint64)])
+        if 2 * len(self) > len(self.slots):
+            self.bits = max(self.bits, int(3 * len(self)).bit_length())
+            self.slots, n = np.full(1 << self.bits, -1, np.int32), 0
+        at, left = self._home(self.keys[n:-1]), np.arange(n, len(self), dtype=np.int32)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            at, left = (at[lost] + 1) & ((1 << self.bits) - 1), left[lost]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the keys, -1 for those that aren't there."""
+        keys = keys.view(np.uint64)
+        at = self._home(keys)
+        out = self.slots[at]
+        left = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            out[left] = self.slots[at]
+            wrong = (out[left] >= 0) & (self.keys[out[left]] != keys[left])
+            left, at = left[wrong], at[wrong]
+        return out

@@ -10,10 +10,12 @@ writes it.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import filled, ramp, shared_dir, slices
+from tidemark.llm._shared import KeyTable, filled, ramp, raw_text, shared_dir, slices, span_hashes, word_spans
 
 MAGIC = b"TMV1"
 HEAD = struct.Struct("<4sIQIQI")  # magic, documents, ids, table entries, data bytes, crc32 of all behind the header
 #: Byte lengths of the four codes of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 #: Ids of a file, unless one document alone has more.
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -53,11 +55,12 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def encode_file(doc_ids: list[int | None], lens: np.ndarray, ids: np.ndarray) -> bytes:
     """A file's bytes: header, table (rank to id), document ids, their lengths, control, data."""
-    table, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((table, -counts))
-    rank = np.empty(len(table), "<u4")
-    rank[order] = np.arange(len(table), dtype="<u4")
-    control, data = pack(rank[inverse] if len(ids) else np.zeros(0, "<u4"))
+    counts = np.bincount(ids)  # ids are below the vocabulary's size
+    table = np.flatnonzero(counts)
+    order = np.argsort(-counts[table], kind="stable")
+    rank = np.zeros(len(counts), "<u4")
+    rank[table[order]] = np.arange(len(table), dtype="<u4")
+    control, data = pack(rank[ids])
     known = np.array([x is not None for x in doc_ids], np.uint8)
     numbers = np.array([0 if x is None else x for x in doc_ids], "<i8")
     body = b"".join([table[order].astype("<u4").tobytes(), known.tobytes(), numbers.tobytes(), lens.astype("<u8").tobytes(), control, data])
@@ -85,60 +88,111 @@ def decode_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(x) if k else None for x, k in zip(numbers, known, strict=True)], lens, table[ranks] if n else ranks
 
 
+#: The split of the tokenizers whose texts may be folded before (see WordEncoder).
+FOLDABLE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+LETTER = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+SIGN = np.array([c in b",.;:!?|*$%&#)\"" for c in range(256)])
+
+
 class WordEncoder:
     """Ids of whole texts for a tokenizer that never joins across ASCII white space.
 
-    Texts are split at ASCII white space by Arrow; only words that are not in the
-    cache go through the tokenizers library.  The cache is emptied when it is full.
+    Words are told apart by 64-bit hashes, many at once; only words that were not met
+    before go through the tokenizers library, many to a call, with a mark between them.
+    What is known is dropped when it is too much.  If the tokenizer itself lowers case
+    and parts letters from signs, ASCII letters are lowered and signs behind letters set
+    apart first, which changes no id and leaves fewer words; texts with strings that
+    look like special tokens are left as they are.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    MARK = "~"
+    BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+
+    def __init__(self, path: str, limit: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        steps = [json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.folds = any(x["type"] == "Lowercase" for x in steps[0].get("normalizers", [])) and any(
+            x.get("pattern") == {"Regex": FOLDABLE} and x.get("invert") for x in steps[1].get("pretokenizers", [])
+        )
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        if new := [w for w in words if w not in self.known]:
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            lens = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(lens.sum()))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-            self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.known = KeyTable()
+        self.flat, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        joins = np.array([self.mark is not None and self.MARK not in w and "<" not in w for w in words], bool)
+        plain, other = [w for w, j in zip(words, joins, strict=True) if j], [w for w, j in zip(words, joins, strict=True) if not j]
+        joined = [f" {self.MARK} ".join([*plain[i : i + 256], ""]) for i in range(0, len(plain), 256)]
+        found = [x for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for x in e.ids]
+        flat = np.fromiter(found, np.uint32, len(found))
+        ends = np.flatnonzero(flat == self.mark) if plain else np.zeros(0, np.int64)
+        lens = np.diff(ends, prepend=-1) - 1
+        flat = np.delete(flat, ends)
+        if other:
+            rest = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            lens = np.concatenate([lens, np.fromiter(map(len, rest), np.int64, len(rest))])
+            flat = np.concatenate([flat, np.array([x for ids in rest for x in ids], np.uint32)])
+        self.known.add(np.concatenate([keys[joins], keys[~joins]]))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
+        self.lens, self.flat = np.concatenate([self.lens, lens.astype(np.int32)]), np.concatenate([self.flat, flat])
+
+    def _folded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, bounds = raw_text(texts)
+        if not self.folds:
+            return raw, bounds
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False).astype(bool)
+        low = LOWER[raw]
+        cut = LETTER[low[:-1]] & SIGN[low[1:]]
+        if special.any():
+            inside = np.repeat(special, np.diff(bounds))
+            low[inside] = raw[inside]
+            cut &= ~inside[1:]
+        at = np.flatnonzero(cut) + 1
+        return np.insert(low, at, 32), bounds + np.searchsorted(at, bounds)
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
-        if len(self.known) > self.limit or len(self.flat) > 16 * self.limit:
+        if len(self.known) > self.limit or len(self.flat) > 8 * self.limit:
             self._clear()
-        words = pc.ascii_split_whitespace(texts)
-        coded = pc.dictionary_encode(words.flatten())
-        spelled = coded.dictionary.to_pylist()
-        self._learn(spelled)
-        place = np.fromiter((self.known[w] for w in spelled), np.int64, len(spelled))[coded.indices.to_numpy(zero_copy_only=False)]
-        per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        lens, starts = self.lens[place], self.starts[place]
+        raw, bounds = self._folded(texts)
+        begin, end, firsts = word_spans(raw, bounds, self.BLANK)
+        keys = span_hashes(raw, begin, end)
+        place = self.known.find(keys)
+        if len(new := np.flatnonzero(place < 0)):
+            fresh, at = np.unique(keys[new], return_index=True)
+            at = new[at]
+            whole = raw.tobytes()
+            self._learn(fresh, [whole[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+            place[new] = self.known.find(keys[new])
+        lens = self.lens[place].astype(np.int64)
         sums = np.concatenate([[0], np.cumsum(lens)])
-        ends = np.cumsum(per_text)
-        counts = sums[ends] - sums[ends - per_text]
-        ids = self.flat[ramp(starts, lens)]
+        counts = np.diff(sums[firsts])
+        ids = self.flat[ramp(self.starts[place], lens)]
         if end_id is None:
             return ids, counts
         return np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32), counts + 1
 
 
+@lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder per Python worker; what it has learned serves the next tasks."""
+    return WordEncoder(path)
+
+
 def _writer(path: str, end_id: int | None, folder: str, file_ids: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         part, block, rows, count = TaskContext.get().partitionId(), 0, [], 0
-        encoder, pending = WordEncoder(path), []
+        pending, own = [], encoder(path)
 
         def flush() -> None:
             nonlocal block, pending, count
@@ -153,8 +207,8 @@ def _writer(path: str, end_id: int | None, folder: str, file_ids: int) -> Callab
             rows.append((part, block, f"{folder}/{os.path.basename(name)}", len(lens), len(ids)))
             block, pending, count = block + 1, [], 0
 
-        for batch in slices(batches, "text"):
-            ids, counts = encoder.encode(filled(batch.column("text")), end_id)
+        for batch in slices(batches, "text", 1 << 20):
+            ids, counts = own.encode(filled(batch.column("text")), end_id)
             pending.append((batch.column("doc_id").to_pylist(), counts, ids))
             count += len(ids)
             if count >= file_ids:
