@@ -4,16 +4,16 @@ A byte-pair encoding is valid exactly when each two neighbouring pieces are what
 two encode to when joined.  So the last piece of the encoding of every prefix is the
 one piece that ends there and fits the last piece of the prefix before it, and the
 count is that prefix's count plus one: a pass from left to right gives the counts of
-all prefixes.  No piece reaches across a space (but for runs of spaces) or a line
-feed, so texts fall into units whose counts add up; units repeat, and their results
-are kept.  Counts are stored as differences of a byte each, and answer budgets and
+all prefixes.  Where two characters stand side by side in no piece of the model, no
+piece reaches across: texts fall into units there, whose counts add up.  Units repeat,
+and their results are kept under a 64-bit hash.  Counts are stored as differences of a byte each, and answer budgets and
 truncation without encoding anything again.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,34 +22,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import filled, ramp, raw_text, slices
+from tidemark.llm._shared import KeyTable, filled, ramp, raw_text, slices, span_hashes
 
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
-#: Texts with runs of spaces, a leading space or the space mark itself are cut by UNIT.
-UNUSUAL = f"^ |  |{SPACE}"
 
 
 class PrefixCounter:
     """Counts of a sentencepiece BPE model with byte fallback and no normalisation."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
         special = lambda i: model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not special(i)}
-        if any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.scores):
-            raise ValueError("pieces of this model reach across spaces")
         self.longest = max(map(len, self.scores))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.limit = limit
+        # pairs of bytes that no piece joins: neither character by character, nor beside characters above ASCII
+        joined = {a + b for p in self.scores for a, b in zip(p, p[1:], strict=False)}
+        self.barrier = np.zeros((256, 256), bool)
+        for a in range(128):
+            left = SPACE if a == 32 else chr(a)
+            self.barrier[a, :128] = [left + (SPACE if b == 32 else chr(b)) not in joined for b in range(128)]
+            self.barrier[a, 0xC0:] = not any(x[0] == left and x[1] > "\x7f" and x[1] != SPACE for x in joined)
+            self.barrier[0x80:, a] = not any(x[1] == left and x[0] > "\x7f" and x[0] != SPACE for x in joined)
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = KeyTable()
         self.prefixes: dict[str, tuple[str, int]] = {}
-        self.flat, self.starts, self.lens, self.sums = np.zeros(0, np.int8), *(np.zeros(0, np.int64) for _ in range(3))
+        self.flat, self.starts = np.zeros(0, np.int8), np.zeros(0, np.int64)
+        self.lens, self.sums = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text, by merging the best pair again and again."""
@@ -64,7 +68,7 @@ class PrefixCounter:
 
     def fits(self, left: str, right: str) -> bool:
         if (found := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > 4 * self.limit:
+            if len(self.pairs) > 2 * self.limit:
                 self.pairs.clear()
             found = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return found
@@ -91,44 +95,55 @@ class PrefixCounter:
             count.append(found[1])
         return count[1:]
 
-    def _place(self, units: list[str]) -> np.ndarray:
-        if new := [u for u in units if u not in self.known]:
-            found = [self.counts(u) for u in new]
-            lens = np.fromiter(map(len, found), np.int64, len(found))
-            begin = np.cumsum(lens) - lens
-            flat = np.diff(np.fromiter((x for counts in found for x in counts), np.int64, int(lens.sum())), prepend=0)
-            flat[begin[1:]] = [counts[0] for counts in found[1:]]
-            self.starts = np.concatenate([self.starts, len(self.flat) + begin])
-            self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat.astype(np.int8)])
-            self.sums = np.concatenate([self.sums, np.fromiter((counts[-1] for counts in found), np.int64, len(found))])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        return np.fromiter((self.known[u] for u in units), np.int64, len(units))
+    def _learn(self, keys: np.ndarray, units: list[str]) -> None:
+        found = [self.counts(u) for u in units]
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        begin = np.cumsum(lens) - lens
+        flat = np.diff(np.fromiter((x for counts in found for x in counts), np.int64, int(lens.sum())), prepend=0)
+        flat[begin[1:]] = [counts[0] for counts in found[1:]]
+        self.known.add(keys)
+        self.starts = np.concatenate([self.starts, len(self.flat) + begin])
+        self.lens, self.flat = np.concatenate([self.lens, lens.astype(np.int32)]), np.concatenate([self.flat, flat.astype(np.int8)])
+        self.sums = np.concatenate([self.sums, np.fromiter((counts[-1] for counts in found), np.int32, len(found))])
+
+    def units(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Begins of the units of all texts: where no piece of the model reaches across."""
+        cut = self.barrier[raw[:-1], raw[1:]]
+        first = np.zeros(len(raw) + 1, bool)
+        first[bounds] = True
+        first[1:-1] |= cut
+        return np.flatnonzero(first[:-1])
 
     def deltas(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Differences of the counts of all prefixes (a byte per character), the texts' boundaries in them, their counts."""
-        if len(self.known) > self.limit or len(self.flat) > 16 * self.limit:
+        if len(self.known) > 4 * self.limit or len(self.flat) > 64 * self.limit:
             self._clear()
-        odd = pc.match_substring_regex(texts, UNUSUAL).to_numpy(zero_copy_only=False).astype(bool)
-        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False).astype(bool)
-        words = pc.split_pattern(pc.if_else(pa.array(odd), "", pc.replace_substring(texts, "\n", " \n")), " ")
-        coded = pc.dictionary_encode(words.flatten())
-        units = [w if w[:1] == "\n" else SPACE + w for w in coded.dictionary.to_pylist()]
-        place = self._place(units)[coded.indices.to_numpy(zero_copy_only=False)]
-        per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        if odd.any() or empty.any():
-            cut = np.split(place, np.cumsum(per_text)[:-1])
-            for i in np.flatnonzero(odd | empty):
-                cut[i] = self._place(UNIT.findall(SPACE + texts[int(i)].as_py().replace(" ", SPACE))) if odd[i] else place[:0]
-            place, per_text = np.concatenate(cut), np.fromiter(map(len, cut), np.int64, len(cut))
-        lens, sums = self.lens[place], np.concatenate([[0], np.cumsum(self.sums[place])])
-        ends = np.cumsum(per_text)
-        counts = sums[ends] - sums[ends - per_text]
+        raw, bounds = raw_text(pc.replace_substring(texts, SPACE, " "))
+        full = np.flatnonzero(np.diff(bounds))
+        raw = np.insert(raw, bounds[full], 32)  # a space mark goes before every text that isn't empty
+        shift = np.zeros(len(bounds), np.int64)
+        shift[full + 1] = 1
+        bounds = bounds + np.cumsum(shift)
+        if not len(raw):
+            return np.zeros(0, np.int8), bounds, np.diff(bounds)
+        begin = self.units(raw, bounds)
+        end = np.append(begin[1:], len(raw))
+        keys = span_hashes(raw, begin, end)
+        place = self.known.find(keys)
+        if len(new := np.flatnonzero(place < 0)):
+            fresh, at = np.unique(keys[new], return_index=True)
+            at = new[at]
+            whole = raw.tobytes()
+            self._learn(fresh, [whole[a:b].decode().replace(" ", SPACE) for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+            place[new] = self.known.find(keys[new])
+        lens = self.lens[place].astype(np.int64)
+        firsts = np.searchsorted(begin, bounds)
+        counts = np.diff(np.concatenate([[0], np.cumsum(self.sums[place], dtype=np.int64)])[firsts])
         flat = self.flat[ramp(self.starts[place], lens)]
-        chars = np.concatenate([[0], np.cumsum(lens)])
-        begin, size = chars[ends - per_text], chars[ends] - chars[ends - per_text]
-        first = begin[size > 0]  # the leading space mark belongs to no character of the text
+        chars = np.concatenate([[0], np.cumsum(lens)])[firsts]
+        first = chars[:-1][full]  # the leading space mark belongs to no character of the text
         flat[first + 1] += flat[first]
-        bounds = np.concatenate([[0], np.cumsum(np.maximum(size - 1, 0))])
+        bounds = np.concatenate([[0], np.cumsum(np.maximum(np.diff(chars) - 1, 0))])
         return np.delete(flat, first), bounds, counts
 
 
@@ -145,9 +160,15 @@ def longest_prefix(deltas: bytes, budget: int) -> int:
 COUNTS = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("n_tokens", "long").add("fits_chars", "long").add("prefix_deltas", "binary")
 
 
+@lru_cache(1)
+def counter_of(path: str) -> PrefixCounter:
+    """One counter per Python worker; what it has learned serves the next tasks."""
+    return PrefixCounter(path)
+
+
 def _counter(path: str, budget: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = counter_of(path)
         for batch in slices(batches, "text", 1 << 20):
             texts = filled(batch.column("text"))
             flat, bounds, counts = counter.deltas(texts)
