@@ -1,4 +1,6 @@
 """Registered queries of the engine and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from tidemark.plans import relational, tables
+
+QUERIES = relational.QUERIES | tables.QUERIES
+SQL = relational.SQL | tables.SQL
