@@ -14,23 +14,23 @@ TEXTS = {
     "tpch_q3": f"""
 SELECT l_orderkey, CAST(sum(CAST({REVENUE} AS DECIMAL(18, 4))) AS DOUBLE) AS revenue, o_orderdate
 FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey
-WHERE c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1995-03-15' AND l_shipdate > DATE '1995-03-15'
+WHERE c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1997-03-15' AND l_shipdate > DATE '1997-03-15'
 GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10""",
     "tpch_q5": f"""
 SELECT n_name, CAST(sum(CAST({REVENUE} AS DECIMAL(18, 4))) AS DOUBLE) AS revenue
 FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey
 JOIN {{supplier}} ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey
-WHERE r_name = 'ASIA' AND o_orderdate >= DATE '1994-01-01' AND o_orderdate < DATE '1996-01-01' GROUP BY n_name""",
+WHERE r_name = 'ASIA' AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1998-01-01' GROUP BY n_name""",
     "tpch_q6": """
 SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM {lineitem}
-WHERE l_shipdate >= DATE '1994-01-01' AND l_shipdate < DATE '1995-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
+WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
     "tpch_q7": f"""
 SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS BIGINT) AS l_year, CAST(sum(CAST({REVENUE} AS DECIMAL(18, 4))) AS DOUBLE) AS revenue
 FROM {{supplier}} JOIN {{lineitem}} ON s_suppkey = l_suppkey JOIN {{orders}} ON o_orderkey = l_orderkey JOIN {{customer}} ON c_custkey = o_custkey
 JOIN {{nation}} n1 ON s_nationkey = n1.n_nationkey JOIN {{nation}} n2 ON c_nationkey = n2.n_nationkey
 WHERE n1.n_regionkey <> n2.n_regionkey AND n1.n_nationkey < 6 AND n2.n_nationkey < 12 GROUP BY n1.n_name, n2.n_name, year(l_shipdate)""",
     "tpch_q8": f"""
-SELECT o_year, round(sum(CASE WHEN nation = 'NATION_3' OR nation = 'BRAZIL' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share, count(*) AS n
+SELECT o_year, round(sum(CASE WHEN nation = 'NATION_3' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share, count(*) AS n
 FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS o_year, {REVENUE} AS volume, n2.n_name AS nation
   FROM {{part}} JOIN {{lineitem}} ON p_partkey = l_partkey JOIN {{supplier}} ON s_suppkey = l_suppkey JOIN {{orders}} ON l_orderkey = o_orderkey
   JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} n1 ON c_nationkey = n1.n_nationkey JOIN {{region}} ON n1.n_regionkey = r_regionkey
@@ -38,7 +38,7 @@ FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS o_year, {REVENUE} AS volume, n
     "tpch_q10": f"""
 SELECT c_custkey, c_name, CAST(sum(CAST({REVENUE} AS DECIMAL(18, 4))) AS DOUBLE) AS revenue, c_acctbal, n_name
 FROM {{customer}} JOIN {{orders}} ON c_custkey = o_custkey JOIN {{lineitem}} ON l_orderkey = o_orderkey JOIN {{nation}} ON c_nationkey = n_nationkey
-WHERE o_orderdate >= DATE '1993-10-01' AND o_orderdate < DATE '1994-01-01' AND l_returnflag = 'R'
+WHERE o_orderdate >= DATE '1995-10-01' AND o_orderdate < DATE '1996-01-01' AND l_returnflag = 'R'
 GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
     "tpch_q14": f"""
 SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN {REVENUE} ELSE 0 END) / sum({REVENUE}), 6) AS promo_revenue
@@ -64,8 +64,8 @@ FULL OUTER JOIN (SELECT l_suppkey AS k, count(*) AS n FROM {lineitem} WHERE l_qu
     "r4_semi_exists": """
 SELECT o_orderpriority, count(*) AS order_count FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o.o_orderkey AND l_quantity > 45) GROUP BY o_orderpriority""",
     "r4_semi_in": "SELECT c_mktsegment, count(*) AS n FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000) GROUP BY c_mktsegment",
-    "r5_anti_not_exists": "SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c.c_custkey) AND c_acctbal > 0 GROUP BY c_nationkey",
-    "r5_anti_not_in": "SELECT p_brand, count(*) AS n FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 30) GROUP BY p_brand",
+    "r5_anti_not_exists": "SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c.c_custkey AND o_totalprice > 200000) AND c_acctbal > 0 GROUP BY c_nationkey",
+    "r5_anti_not_in": "SELECT p_brand, count(*) AS n FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 48 AND l_discount > 0.04) GROUP BY p_brand",
     "r6_exists_or_exists": """
 SELECT c_mktsegment, count(*) AS n FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c.c_custkey AND o_orderstatus = 'P')
 OR EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c.c_custkey AND o_totalprice > 300000) GROUP BY c_mktsegment""",
@@ -95,10 +95,10 @@ lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, lead(event
     "r22_union_all": "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}) t GROUP BY k",
     "r23_union": "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}",
     "r24_intersect": "SELECT o_custkey AS k FROM {orders} WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'O'",
-    "r25_except": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}",
+    "r25_except": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_orderpriority = '1-URGENT'",
     "r26_dates": """
 SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, count(*) AS n FROM {orders}
-WHERE o_orderdate >= DATE '1994-06-30' - INTERVAL 1 YEAR AND o_orderdate < DATE '1994-06-30' + INTERVAL 90 DAY GROUP BY year(o_orderdate), month(o_orderdate)""",
+WHERE o_orderdate >= DATE '1996-06-30' - INTERVAL 1 YEAR AND o_orderdate < DATE '1996-06-30' + INTERVAL 90 DAY GROUP BY year(o_orderdate), month(o_orderdate)""",
     "r27_strings": "SELECT upper(substring(p_name, 1, 3)) AS head, concat(p_brand, '-', p_type) AS label, CAST(length(p_name) AS BIGINT) AS len FROM {part} WHERE p_type LIKE '%E%'",
     "r28_math": "SELECT l_orderkey, l_linenumber, round(abs(l_extendedprice - 50000), 2) AS gap, CAST(floor(l_quantity / 7) AS BIGINT) AS f FROM {lineitem} WHERE abs(l_discount - 0.05) < 0.011",
     "r29_nulls": "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS seg, nullif(c_nationkey, 3) IS NULL AS gone FROM {customer}",

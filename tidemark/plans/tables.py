@@ -246,7 +246,7 @@ def index_bitmap(spark, t):
     return _indexed(spark, t("orders"), "bitmap", "o_orderpriority", ["1-URGENT", "5-LOW"], "o_orderpriority IN ('1-URGENT', '5-LOW')").select("o_orderkey")
 
 
-@_register("SELECT p_partkey FROM part WHERE p_brand = 'Brand#12' OR p_type LIKE '%STEEL%' AND p_brand = 'Brand#12'")
+@_register("SELECT p_partkey FROM part WHERE p_brand = 'Brand#12' OR p_type = 'Brand#12'")
 def index_label_list(spark, t):
     rows = t("part").select("p_partkey", F.array("p_brand", "p_type").alias("labels"))
     return _indexed(spark, rows, "label_list", "labels", ["Brand#12"], "array_contains(labels, 'Brand#12')").select("p_partkey")

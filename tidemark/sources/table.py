@@ -246,9 +246,9 @@ class Table:
         df = self.spark.read.schema(schema).parquet(*[self.store.path(f["file"]) for f in chosen])
         if plain:
             return df
-        known = self.spark.createDataFrame([(f["file"].rpartition("/")[2], f["id"], f["created"]) for f in chosen], "__file string, _fragid int, __version long")
+        known = self.spark.createDataFrame([(self._key(f["file"]), f["id"], f["created"]) for f in chosen], "__file string, _fragid int, __version long")
         known = F.broadcast(known) if len(chosen) <= BROADCAST_ROWS else known
-        df = df.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__index")).join(known, "__file")
+        df = df.select("*", F.substring_index("_metadata.file_path", "/", -2).alias("__file"), F.col("_metadata.row_index").alias("__index")).join(known, "__file")
         df = df.withColumn("_rowaddr", F.shiftleft(F.col("_fragid").cast("long"), 32) + F.col("__index"))
         if deleted:
             gone = self.spark.read.schema("rowaddr long").parquet(*[self.store.path(d) for d in m.deletes])
@@ -287,6 +287,12 @@ class Table:
         kept = [f for f in m.fragments if picked is None or f["id"] in picked]
         return {"version": m.version, "fragments": len(m.fragments), "scanned_fragments": len(kept), "rows": m.rows, "scanned_rows": sum(f["rows"] - f["deleted"] for f in kept), "bytes": max(1, sum(f["bytes"] for f in kept))}
 
+    def _key(self, file: str) -> str:
+        """The last two parts of a file's path as Spark names them (file names alone repeat between shards)."""
+        if "=" in file:
+            file = self.store._path(file).toUri().toString()
+        return "/".join(file.split("/")[-2:])
+
     # -- writing ------------------------------------------------------------------
 
     def _write(self, df: DataFrame, m: Manifest, stored: bool = False, **options) -> list[dict]:
@@ -307,10 +313,10 @@ class Table:
         if not files:
             return []
         read = self.spark.read.schema(T.StructType([*m.struct.fields, *STORED.fields])).parquet(*[self.store.path(k) for k in files])
-        rows = {r[0]: r[1] for r in read.groupBy(F.col("_metadata.file_name")).count().collect()}
+        rows = {r[0]: r[1] for r in read.groupBy(F.substring_index("_metadata.file_path", "/", -2)).count().collect()}
         out = []
         for name, size in sorted(files.items()):
-            if n := rows.get(name.rpartition("/")[2], 0):
+            if n := rows.get(self._key(name), 0):
                 entry = {"file": name, "rows": n, "deleted": 0, "bytes": size}
                 if shard:
                     entry["shard"] = name.split("__shard=")[1].split("/")[0]
