@@ -273,16 +273,98 @@ def _sets(k: int) -> Callable:
     return run
 
 
+#: Bits of a set's parity bitmap, which bounds how far two sets differ.
+MAP_BITS = 1024
+
+
+def _bitmaps(k: int) -> Callable:
+    """Per document: size, and the parity of the number of its hashes in each of MAP_BITS classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = Shingles(batch.column("text"), k)
+            own = [sets.set(i) for i in range(len(sets))]
+            odd = [np.packbits(np.bincount(mix(h).astype(np.int64) & (MAP_BITS - 1), minlength=MAP_BITS) & 1 > 0).tobytes() for h in own]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(h) for h in own], pa.int32()), pa.array(odd, pa.binary())], names=["id", "n", "bits"])
+
+    return run
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _allowed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many elements two similar sets of these sizes can have that the other has not; below 0 if sizes differ too much."""
+    total = n.astype(np.int64) + m
+    most = total - 2 * -(-percent * total // (100 + percent))
+    return np.where(np.minimum(n, m) * 100 >= percent * np.maximum(n, m), most, -1)
+
+
+def _plausible(percent: int) -> Callable:
+    """Pairs whose bitmaps don't rule the similarity out: bitmaps differ in at most as many bits as sets do in elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                differ = np.bitwise_count(_words(batch.column("bits1")) ^ _words(batch.column("bits2"))).sum(1, dtype=np.int64)
+                n, m = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
+                yield batch.select(["a", "b"]).filter(pa.array(differ <= _allowed(n, m, percent)))
+
+    return run
+
+
+def _across(percent: int, once: bool, block: int = 256) -> Callable:
+    """Pairs from different components within each list (rows sorted by key) that bitmaps don't rule out.
+
+    ``once``: one pair for each two components of a list, not all.
+    """
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, n, group = (rows.column(c).to_numpy() for c in ("id", "n", "group"))
+        bits = _words(rows.column("bits").combine_chunks())
+        for a in range(0, len(ids), block):
+            one = slice(a, a + block)
+            differ = np.bitwise_count(bits[one, None, :] ^ bits[None, a:, :]).sum(2, dtype=np.int64)
+            good = (differ <= _allowed(n[one, None], n[None, a:], percent)) & (group[one, None] != group[None, a:])
+            i, j = np.nonzero(np.triu(good, 1))
+            if once and len(i):
+                i, j = i[(first := np.unique(np.stack([group[a + i], group[a + j]]), axis=1, return_index=True)[1])], j[first]
+            if len(i):
+                x, y = ids[a + i], ids[a + j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            keys = rest.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield from pairs(rest.slice(a, b - a))
+            rest = rest.slice(cuts[-1])  # the list may go on
+        if rest is not None and len(rest):
+            yield from pairs(rest)
+
+    return run
+
+
 def _pick(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Documents by a list of ids: broadcast up to a limit, else joined by a shuffle."""
     ids = ids.select(F.col(ids.columns[0]).alias("doc_id"))
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("left"))
-    other = sets.select(F.col("id").alias("b"), F.col("hashes").alias("right"))
-    return materialize(pairs.join(one, "a").join(other, "b").select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long"), "links")
+def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose sets are similar; only the documents that are in a pair give their sets."""
+
+    def sets(column: str, name: str) -> DataFrame:
+        own = _pick(docs, materialize(pairs.select(column).distinct(), "members"), "left_semi").mapInArrow(_sets(k), "id long, hashes binary")
+        return own.select(F.col("id").alias(column), F.col("hashes").alias(name))
+
+    both = pairs.join(sets("a", "left"), "a").join(sets("b", "right"), "b").select("a", "b", "left", "right")
+    return materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -319,25 +401,35 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pairs = found.filter(F.col("kind") == PAIR).filter("a != b").select("a", "b").distinct()
     open_ = found.filter(F.col("kind") == OPEN).select("key", "n", F.col("a").alias("id")).distinct()
     pairs = materialize(pairs, "pairs")
-    members = pairs.select("a").union(pairs.select("b")).union(open_.select("id")).distinct()
-    sets = materialize(_pick(docs, materialize(members, "members"), "left_semi").mapInArrow(_sets(k), "id long, hashes binary"), "sets")
+    open_ = materialize(open_, "open")
+    members = materialize(pairs.select("a").union(pairs.select("b")).union(open_.select("id")).distinct(), "members")
+    maps = materialize(_pick(docs, members, "left_semi").mapInArrow(_bitmaps(k), "id long, n int, bits binary"), "bitmaps")
+    one, other = (maps.select(F.col("id").alias(x), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"bits{i}")) for i, x in ((1, "a"), (2, "b")))
+    pairs = materialize(pairs.join(one, "a").join(other, "b").mapInArrow(_plausible(percent), "a long, b long"), "plausible")
     links = _subset_links(found.filter(F.col("kind") == SUBSET).select("key", F.col("n").alias("role"), F.col("a").alias("id")))
     # first one pair for each document, with the least partner: enough for groups of near copies
-    links = links.union(_linked(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
+    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = links.union(_linked(first, docs, k, percent))
     groups = materialize(connected_components(links, "sets"), "groups")
 
     def placed(rows: DataFrame, column: str) -> DataFrame:
         own = groups.select(F.col("node").alias(column), F.col("component").alias(f"{column}_group"))
         return rows.join(own, column, "left").withColumn(f"{column}_group", F.coalesce(f"{column}_group", column))
 
-    rest = placed(placed(pairs, "a"), "b").filter("a_group != b_group").select("a", "b")
-    member = placed(open_, "id")
-    split = member.groupBy("key").agg(F.min("id_group").alias("low"), F.max("id_group").alias("high")).filter("low != high").select("key")
-    member = materialize(member.join(split, "key"), "open")
-    other = member.select("key", F.col("n").alias("n2"), F.col("id").alias("b"), F.col("id_group").alias("b_group"))
-    cross = member.join(other, "key").filter(F.expr(f"id < b and id_group != b_group and 100 * least(n, n2) >= {percent} * greatest(n, n2)"))
-    rest = materialize(rest.union(cross.select(F.col("id").alias("a"), "b")).distinct(), "rest")
-    groups = materialize(connected_components(links.union(_linked(rest, sets, percent)), "sets"), "groups")
+    # then one pair for each two components that meet, then all pairs that still lie in different components
+    for once in (True, False):
+        member = placed(open_.select("key", "id"), "id").withColumnRenamed("id_group", "group")
+        split = member.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low != high").select("key")
+        lists = member.join(split, "key").join(maps, "id").select("key", "id", "n", "group", "bits")
+        across = lists.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_across(percent, once), "a long, b long")
+        rest = placed(placed(pairs.union(across.distinct()), "a"), "b").filter("a_group != b_group")
+        if once:
+            two = [F.least("a_group", "b_group"), F.greatest("a_group", "b_group")]
+            rest = rest.groupBy(*two).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        else:
+            rest = rest.select("a", "b").distinct()
+        links = links.union(_linked(materialize(rest, "rest"), docs, k, percent))
+        groups = materialize(connected_components(links, "sets"), "groups")
 
     node = F.coalesce("rep", "doc_id")
     out = keys.join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"], "left").withColumn("node", node)
