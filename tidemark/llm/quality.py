@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import materialize, mix, slices
+from tidemark.llm._shared import KeyTable, materialize, slices
 
 ORDER, START = 4, 2
 #: One in so many trusted documents isn't trained on; thresholds come from these alone.
@@ -55,38 +55,6 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return key[inside].view(np.int64), np.concatenate([[0], np.cumsum(size)])
 
 
-class Lookup:
-    """Open-addressing table of distinct 64-bit keys; find() takes many keys at once."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2).bit_length())
-        self.keys = np.append(keys.view(np.uint64), np.uint64(0))
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        at, left = self._hash(self.keys[:-1]), np.arange(len(keys), dtype=np.int32)
-        while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = left[free]
-            lost = self.slots[at] != left
-            at, left = (at[lost] + 1) & ((1 << self.bits) - 1), left[lost]
-
-    def _hash(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of the keys, -1 for those that aren't there."""
-        keys = keys.view(np.uint64)
-        at = self._hash(keys)
-        out = self.slots[at]
-        left = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
-        at = at[left]
-        while len(left):
-            at = (at + 1) & ((1 << self.bits) - 1)
-            out[left] = self.slots[at]
-            wrong = (out[left] >= 0) & (self.keys[out[left]] != keys[left])
-            left, at = left[wrong], at[wrong]
-        return out
-
-
 def _chunked(docs: DataFrame) -> DataFrame:
     """Identity of a row's text, its language and its chunk (the input split, parted if it is large)."""
     spark = docs.sparkSession
@@ -146,92 +114,96 @@ def _suffix(g: Column, order: int) -> Column:
     return g.bitwiseAND(F.lit((1 << 16 * order) - 1)) if order < 4 else g
 
 
-def _discounts(table: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts of a table of counts, per language."""
-    n = {k: F.sum((F.col("n") == k).cast("double")) for k in (1, 2, 3, 4)}
-    out = table.groupBy("lang").agg(*[n[k].alias(f"n{k}") for k in n])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    out = out.withColumn("y", y)
-    made = []
-    for k in (1, 2, 3):
-        d = k - (k + 1) * F.col("y") * F.col(f"n{k + 1}") / F.when(F.col(f"n{k}") > 0, F.col(f"n{k}"))
-        made.append(F.greatest(F.lit(0.05), F.least(F.lit(float(k)) - 0.05, F.coalesce(d, F.lit(k - 0.5)))).alias(f"d{k}"))
-    return out.select("lang", *made)
-
-
-class CountTables:
-    """Counts of order 4, continuation counts of orders 3 to 1, and their contexts' sums."""
-
-    def __init__(self, counts: DataFrame):
-        self.counts = {ORDER: counts}
-        for k in range(ORDER - 1, 0, -1):
-            self.counts[k] = self.counts[k + 1].groupBy("lang", _suffix(F.col("g"), k).alias("g")).agg(F.count("*").alias("n"))
-        self.discounts = {k: _discounts(t) for k, t in self.counts.items()}
-
-    def contexts(self, k: int) -> DataFrame:
-        """Per context: the sum of counts and the weight left for the lower order."""
-        ctx = F.shiftrightunsigned("g", 16) if k > 1 else F.lit(0).cast("long")
-        sums = [F.sum("n").alias("total")] + [F.sum((F.col("n") == i).cast("double")).alias(f"c{i}") for i in (1, 2)] + [F.sum((F.col("n") >= 3).cast("double")).alias("c3")]
-        out = self.counts[k].groupBy("lang", ctx.alias("ctx")).agg(*sums).join(self.discounts[k], "lang")
-        left = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
-        return out.select("lang", "ctx", "total", left.alias("rest"))
-
-    def probabilities(self, wanted: DataFrame) -> DataFrame:
-        """``lang``, ``g`` and probability ``p`` of the last unit after the others, for distinct wanted n-grams."""
-        known = self.counts[1].groupBy("lang").agg((F.count("*") + 1).alias("units"))
-        lower = None
-        for k in range(1, ORDER + 1):
-            rows = wanted if k == ORDER else wanted.select("lang", _suffix(F.col("g"), k).alias("g")).distinct()
-            ctx = F.shiftrightunsigned("g", 16) if k > 1 else F.lit(0).cast("long")
-            rows = rows.withColumn("ctx", ctx).join(self.counts[k], ["lang", "g"], "left").join(self.contexts(k), ["lang", "ctx"], "left").join(self.discounts[k], "lang", "left")
-            n = F.col("n")
-            d = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
-            own = F.coalesce((n - d) / F.col("total"), F.lit(0.0))
-            if lower is None:
-                rows = rows.join(known, "lang").withColumn("low", 1.0 / F.col("units"))
-            else:
-                rows = rows.withColumn("s", _suffix(F.col("g"), k - 1)).join(lower, ["lang", "s"])
-            lower = rows.select("lang", F.col("g").alias("s"), (own + F.coalesce("rest", F.lit(1.0)) * F.col("low")).alias("low"))
-        return lower.select("lang", F.col("s").alias("g"), F.col("low").alias("p"))
+def _discounts(stacked: DataFrame) -> DataFrame:
+    """Modified Kneser-Ney discounts of every order and language (a row each), and the distinct units of the language."""
+    n = [F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    rows = []
+    for r in stacked.groupBy("k", "lang").agg(F.count("*").alias("size"), *n).collect():
+        have = {i: r[f"n{i}"] for i in (1, 2, 3, 4)}
+        y = have[1] / (have[1] + 2 * have[2]) if have[1] + 2 * have[2] else None
+        found = [i - (i + 1) * y * have[i + 1] / have[i] if y is not None and have[i] else i - 0.5 for i in (1, 2, 3)]
+        rows.append((r.k, r.lang, *[max(0.05, min(i - 0.05, d)) for i, d in zip((1, 2, 3), found, strict=True)], r.size))
+    return F.broadcast(stacked.sparkSession.createDataFrame(rows, "k int, lang string, d1 double, d2 double, d3 double, size long"))
+
+
+def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``lang``, ``g`` and probability ``p`` of the last unit after the others, for distinct wanted n-grams.
+
+    ``counts`` holds the n-grams of order 4 (``lang``, ``g``, ``n``).  All orders are
+    stacked in one table: counts of order 4, numbers of distinct left neighbours below.
+    """
+    tables = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):
+        tables[k] = tables[k + 1].groupBy("lang", _suffix(F.col("g"), k).alias("g")).agg(F.count("*").alias("n"))
+    stacked = None
+    for k, t in tables.items():
+        t = t.select(F.lit(k).alias("k"), "lang", "g", "n")
+        stacked = t if stacked is None else stacked.union(t)
+    stacked = materialize(stacked, "stacked")
+    discounts = _discounts(stacked)
+    ctx = F.when(F.col("k") > 1, F.shiftrightunsigned("g", 16)).otherwise(F.lit(0).cast("long"))
+    sums = [F.sum("n").alias("total")] + [F.sum((F.col("n") == i).cast("double")).alias(f"c{i}") for i in (1, 2)] + [F.sum((F.col("n") >= 3).cast("double")).alias("c3")]
+    contexts = stacked.groupBy("k", "lang", ctx.alias("ctx")).agg(*sums)
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _suffix(F.col("g"), k).alias("g")) for k in tables])).alias("x")
+    rows = wanted.select("lang", levels).select("x.k", "lang", "x.g").distinct()
+    rows = rows.join(stacked, ["k", "lang", "g"], "left").withColumn("ctx", ctx)
+    rows = rows.join(contexts, ["k", "lang", "ctx"], "left").join(discounts, ["k", "lang"], "left")
+    n = F.col("n")
+    own = F.coalesce((n - F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total"), F.lit(0.0))
+    # the weight that a context leaves to the lower order; an unknown context leaves all
+    rest = F.coalesce((F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total"), F.lit(1.0))
+    parts = materialize(rows.select("k", "lang", "g", own.alias("own"), rest.alias("rest"), "size"), "parts")
+    out = parts.filter(F.col("k") == ORDER).select("lang", "g", F.col("own").alias("p"), F.col("rest").alias("w"))
+    for k in range(ORDER - 1, 0, -1):
+        lower = parts.filter(F.col("k") == k).select("lang", F.col("g").alias("s"), F.col("own").alias("lower_own"), F.col("rest").alias("lower_rest"), "size")
+        out = out.withColumn("s", _suffix(F.col("g"), k)).join(lower, ["lang", "s"])
+        p, w = F.col("p") + F.col("w") * F.col("lower_own"), F.col("w") * F.col("lower_rest")
+        out = out.select("lang", "g", (p + w / (F.col("size") + 1) if k == 1 else p).alias("p"), w.alias("w"))
+    return out.select("lang", "g", "p")
 
 
 SCORED = T.StructType().add("doc_id", "long").add("text_id", "long").add("lang", "string").add("n_units", "long").add("perplexity", "double")
 _SCORED = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("lang", pa.string()), ("n_units", pa.int64()), ("perplexity", pa.float64())])
 
 
-def _score(docs: pa.Table, model: pa.Table) -> pa.Table:
-    docs = docs.combine_chunks()
-    names = model.column("lang").to_numpy(zero_copy_only=False)
-    keys, logs = model.column("g").to_numpy(), model.column("logp").to_numpy()
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a chunk as compressed blobs: less to shuffle, and a few at a time to hold."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))
+    for batch in slices(batches, "text", 4 << 20):
+        chunks = batch.column("chunk").to_numpy()
+        for chunk in np.unique(chunks):
+            own = batch.filter(pa.array(chunks == chunk)).drop_columns(["chunk"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=options) as out:
+                out.write_batch(own)
+            yield pa.RecordBatch.from_arrays([pa.array([int(chunk)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "packed"])
+
+
+def _score(packed: pa.Table, model: pa.Table) -> pa.Table:
+    names = model.column("lang").combine_chunks().dictionary_encode()
+    which, keys, logs = names.indices.to_numpy(zero_copy_only=False), model.column("g").to_numpy(), model.column("logp").to_numpy()
     tables = {}
-    for lang in set(names):
-        own = names == lang
-        tables[lang] = Lookup(keys[own]), logs[own]
-    langs = docs.column("lang").to_pylist()
-    texts = docs.column("text")
-    ppl: list[float | None] = [None] * len(langs)
-    sizes = np.zeros(len(langs), np.int64)
-    by: dict[str, list[int]] = {}
-    for i, lang in enumerate(langs):
-        by.setdefault(lang, []).append(i)
-    for lang, rows in by.items():
-        at = 0
-        while at < len(rows):
-            some, size = [], 0
-            while at < len(rows) and (not some or size < 1 << 20):
-                some.append(texts[rows[at]].as_py() or "")
-                size += len(some[-1])
-                at += 1
-            keys, bounds = grams(some)
-            mine = rows[at - len(some) : at]
-            sizes[mine] = np.diff(bounds)
-            if lang in tables:
-                lookup, values = tables[lang]
-                sums = np.concatenate([[0.0], np.cumsum(values[lookup.find(keys)])])
-                for i, a, b in zip(mine, bounds, bounds[1:], strict=False):
-                    if b > a:
-                        ppl[i] = float(np.exp((sums[a] - sums[b]) / (b - a)))
-    return pa.Table.from_arrays([docs.column("doc_id"), docs.column("text_id"), docs.column("lang"), pa.array(sizes), pa.array(ppl, pa.float64())], schema=_SCORED)
+    for i, lang in enumerate(names.dictionary.to_pylist()):
+        fresh, at = np.unique(keys[which == i], return_index=True)
+        tables[lang] = KeyTable(fresh), logs[which == i][at]
+    out = []
+    for blob in packed.column("packed"):
+        for batch in slices(pa.ipc.open_stream(blob.as_buffer()), "text", 1 << 20):
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            ppl: list[float | None] = [None] * len(langs)
+            sizes = np.zeros(len(langs), np.int64)
+            for lang in set(langs):
+                mine = [i for i, x in enumerate(langs) if x == lang]
+                found, bounds = grams([texts[i] for i in mine])
+                sizes[mine] = np.diff(bounds)
+                if lang in tables:
+                    table, values = tables[lang]
+                    sums = np.concatenate([[0.0], np.cumsum(values[table.find(found)])])
+                    for i, a, b in zip(mine, bounds, bounds[1:], strict=False):
+                        if b > a:
+                            ppl[i] = float(np.exp((sums[a] - sums[b]) / (b - a)))
+            out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), batch.column("lang"), pa.array(sizes), pa.array(ppl, pa.float64())], schema=_SCORED))
+    return pa.Table.from_batches(out, _SCORED)
 
 
 def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -254,10 +226,11 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     seen = rows.join(ids, "doc_id", "left").select("chunk", "lang", "text", F.coalesce("trained", F.lit(False)).alias("trained"))
     gathered = materialize(seen.mapInArrow(_gather, "chunk long, lang string, g long, n long"), "grams")
     counts = materialize(gathered.filter("n is not null").groupBy("lang", "g").agg(F.sum("n").alias("n")), "counts")
-    wanted = gathered.filter("n is null").join(counts.select("lang").distinct(), "lang", "left_semi").select("chunk", "lang", "g").distinct()
-    model = materialize(CountTables(counts).probabilities(wanted.select("lang", "g").distinct()), "model")
+    wanted = gathered.filter("n is null").join(counts.select("lang").distinct(), "lang", "left_semi").select("chunk", "lang", "g")
+    model = materialize(probabilities(counts, wanted.select("lang", "g").distinct()), "model")
     own = wanted.join(model, ["lang", "g"]).select("chunk", "lang", "g", F.log("p").alias("logp"))
-    scored = rows.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_score, SCORED)
+    packed = rows.mapInArrow(_pack, "chunk long, packed binary")
+    scored = packed.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_score, SCORED)
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("trusted", "trained")}
     return materialize(scored, "scores").join(ids, "doc_id", "left").withColumns(flags)
 
@@ -286,5 +259,5 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, level: float = LEVEL, slack:
 
 def filter_quality(docs: DataFrame, trusted_ids: DataFrame, level: float = LEVEL, slack: float = SLACK) -> DataFrame:
     """The documents (all columns) that judge() keeps."""
-    gone = materialize(judge(docs, trusted_ids, level, slack).filter("not kept").select("text_id").distinct(), "rejected")
-    return docs.withColumn("__id", F.xxhash64("doc_id", "lang", "text")).join(small(gone), F.col("__id") == F.col("text_id"), "left_anti").drop("__id")
+    gone = materialize(judge(docs, trusted_ids, level, slack).filter("not kept").select(F.col("text_id").alias("__id")).distinct(), "rejected")
+    return docs.withColumn("__id", F.xxhash64("doc_id", "lang", "text")).join(small(gone), "__id", "left_anti").select(*docs.columns)
