@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import KeyTable, filled, ramp, raw_text, shared_dir, slices, span_hashes, word_spans
+from tidemark.llm._shared import KeyTable, filled, ramp, raw_text, shared_dir, slices, small_batches, span_hashes, word_spans
 
 MAGIC = b"TMV1"
 HEAD = struct.Struct("<4sIQIQI")  # magic, documents, ids, table entries, data bytes, crc32 of all behind the header
@@ -242,7 +242,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 2, folder: str
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     files = dealt.mapInArrow(_writer(path, end_id, folder, file_ids), MANIFEST)
-    files.write.parquet(f"{folder}/manifest")
+    with small_batches(spark):
+        files.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
