@@ -98,6 +98,39 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_a_label_in_one_direction(spark):
+    """Planted pairs at the threshold are found although all vectors of the label lean one way (mean cosine 0.8)."""
+    rng, n = np.random.default_rng(5), 12_000
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    lean = unit(rng.normal(size=32))
+    vectors = unit(math.sqrt(0.8) * lean + math.sqrt(0.2) * unit(rng.normal(size=(n, 32))))
+    turn = rng.normal(size=(400, 32))
+    turn = unit(turn - np.sum(turn * vectors[:400], 1, keepdims=True) * vectors[:400])
+    vectors = np.concatenate([vectors, 0.935 * vectors[:400] + math.sqrt(1 - 0.935**2) * turn])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df).collect()}
+    assert sum(found[i] != found[n + i] for i in range(400)) <= 2
+
+
+def test_embedding_dedup_across_partitions(spark):
+    """Neighbours stay neighbours where a run of sorted rows is cut, into however small partitions."""
+    vectors = [[1.0, 0.0] if i % 7 == 0 else [math.cos(i), math.sin(i)] for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"label": ["0"] * 40, "dim": [2] * 40, "pass": [0] * 40, "key": list(range(40)), "vec_id": list(range(40)), "window": [7] * 40, "embedding": vectors})
+    for size in (1, 3, 9, 25):
+        cut, ends = Groups(range(40)), []
+        for at in range(0, 40, size):
+            for b in embedding_dedup._windows(0.99, True)(batch.slice(k, min(2, at + size - k, 40 - k)) for k in range(at, min(at + size, 40), 2)):
+                ends.append(b.filter(b["a"].is_null()).drop_columns(["a", "b"]))
+                links = b.filter(b["a"].is_valid())
+                for x, y in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True):
+                    cut.join(x, y)
+        ends = pa.Table.from_batches(ends).sort_by("key").combine_chunks().to_batches()
+        for b in embedding_dedup._windows(0.99, False)(iter(ends)):
+            for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True):
+                cut.join(x, y)
+        assert {cut.root(i) for i in range(0, 40, 7)} == {0}
+
+
 # -- 2 -----------------------------------------------------------------------------
 
 

@@ -42,20 +42,3 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         seen = now
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
-def local_forest(n: int, left, right) -> list[tuple[int, int]]:
-    """Edges (member, root) that span the components of n local nodes and the given pairs."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(left, right, strict=True):
-        a, b = root(int(a)), root(int(b))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [(x, r) for x in range(n) if (r := root(x)) != x]
