@@ -69,6 +69,22 @@ def time_travel_timestamp(spark, t):
     return table.read(timestamp=m.timestamp).select("c_custkey")
 
 
+@_register("SELECT c_custkey, c_acctbal FROM customer")
+def time_travel_version_whole(spark, t):
+    table = _table(spark, t("customer").filter("c_custkey % 2 = 0"))
+    m = table.append(t("customer").filter("c_custkey % 2 <> 0"))
+    table.delete("c_acctbal < 0")
+    return table.read(version=m.version).select("c_custkey", "c_acctbal")
+
+
+@_register("SELECT c_custkey, c_acctbal FROM customer")
+def time_travel_timestamp_whole(spark, t):
+    table = _table(spark, t("customer").filter("c_custkey % 2 = 0"))
+    m = table.append(t("customer").filter("c_custkey % 2 <> 0"))
+    table.delete("c_acctbal < 0")
+    return table.read(timestamp=m.timestamp).select("c_custkey", "c_acctbal")
+
+
 @_register("SELECT o_orderkey, o_totalprice FROM orders")
 def insert_append(spark, t):
     table = _table(spark, t("orders").filter("o_orderkey % 2 = 0"))
@@ -119,6 +135,20 @@ def merge_into(spark, t):
     return table.read()
 
 
+@_register("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, -1.0::DOUBLE FROM customer WHERE c_custkey % 5 = 0""")
+def merge_into_whole(spark, t):
+    c = t("customer").select("c_custkey", "c_acctbal")
+    table = _table(spark, c.filter("c_custkey % 5 <> 0"))
+    table.merge(
+        c.filter("c_custkey % 3 <> 2 or c_custkey % 5 = 0"), "t.c_custkey = s.c_custkey",
+        matched=[("s.c_custkey % 3 = 0", None), (None, {"c_acctbal": "t.c_acctbal + 1"})],
+        not_matched=[(None, {"c_custkey": "s.c_custkey", "c_acctbal": "-1.0D"})],
+    )
+    return table.read()
+
+
 @_register("SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' END AS size_class FROM orders")
 def add_columns_from(spark, t):
     table = _table(spark, t("orders").select("o_orderkey", "o_totalprice"))
