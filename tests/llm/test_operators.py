@@ -233,6 +233,14 @@ def test_jaccard_awkward(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c} | {None}
 
 
+def test_jaccard_rows_that_share_an_id(spark):
+    """A copy's id may have another text: that text keeps its links, and the id joins both."""
+    one, two, three, four = (prose(60 + i, 60) for i in range(4))
+    data = [(1, one), (2, one), (2, two), (3, two + " extra"), (10, three), (11, four), (12, three), (12, four), (20, "a b"), (21, "a b"), (21, " "), (30, prose(70, 60))]
+    found = rows(shingle_join.jaccard_groups(spark.createDataFrame(data, "doc_id long, text string")), "doc_id", "component_id")
+    assert found == sorted([(i, 1 if i < 4 else 10 if i < 20 else 20 if i < 30 else 30) for i, _ in data], key=repr)
+
+
 def test_light_boundary_covers_all_pairs():
     for percent in (60, 80, 95):
         for n in range(1, 13):

@@ -392,7 +392,13 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sizes = {r[0]: r[1] for r in classes.filter(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()}
     light = boundary(sizes, percent)
     copies = keys.filter("n > 0 and doc_id is not null").join(classes.filter("copies > 1"), ["n", "k1", "k2"]).filter("doc_id != rep")
-    firsts = _pick(docs.filter("doc_id is not null"), copies.select("doc_id").distinct(), "left_anti")
+    copies = materialize(copies.select("doc_id", "rep").distinct(), "copies")
+    # ids that have another row: it enters the lists, and the id links the sets of its rows
+    others = classes.select(F.col("rep").alias("doc_id")).union(keys.filter("n = 0 and doc_id is not null").select("doc_id"))
+    mixed = copies.groupBy("doc_id").agg((F.min("rep") != F.max("rep")).alias("ties")).join(others.distinct().withColumn("own", F.lit(True)), "doc_id", "left")
+    mixed = materialize(mixed, "mixed")
+    ties = copies.join(mixed.filter("ties or own"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    firsts = _pick(docs.filter("doc_id is not null"), mixed.filter("own is null").select("doc_id"), "left_anti")
     entries = firsts.mapInArrow(_entries(k, percent, light, shipped), ENTRY)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = entries.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "n", "id")
@@ -409,7 +415,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = _subset_links(found.filter(F.col("kind") == SUBSET).select("key", F.col("n").alias("role"), F.col("a").alias("id")))
     # first one pair for each document, with the least partner: enough for groups of near copies
     first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = links.union(_linked(first, docs, k, percent))
+    links = links.union(_linked(first, docs, k, percent)).union(ties)
     groups = materialize(connected_components(links, "sets"), "groups")
 
     def placed(rows: DataFrame, column: str) -> DataFrame:
