@@ -463,6 +463,13 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(documents(spark)).count() == len(awkward())
 
 
+def test_license_scan_gives_every_occurrence():
+    """Worse matches of a notice before and behind a better one, all within one joined window."""
+    texts = ["licensed under the mlt license", "licensed under the mit license", "licensd under the mit lcense"]
+    _, found = license_scan.Scanner().scan(license_scan.normalize(" ".join(texts)))
+    assert [(label, edits) for _, _, label, edits, notice in found if notice == texts[1]] == [("mit", 1), ("mit", 0), ("mit", 2)]
+
+
 # -- 10 ----------------------------------------------------------------------------
 
 

@@ -105,8 +105,13 @@ class Scanner:
         fuzzy = set()
         for notice, spans in windows.items():
             for low, high in _joined(sorted(spans)):
-                for m in self.patterns[notice].finditer(words, low, min(high, len(words))):
-                    fuzzy.add((m.start(), m.end(), self.notices[notice], sum(m.fuzzy_counts), notice))
+                # the best match comes first, wherever it stands: what lies before and behind it is searched again
+                open_ = [(low, min(high, len(words)))]
+                while open_:
+                    a, b = open_.pop()
+                    if b - a >= len(notice) - self.edits[notice] and (m := self.patterns[notice].search(words, a, b)):
+                        fuzzy.add((m.start(), m.end(), self.notices[notice], sum(m.fuzzy_counts), notice))
+                        open_ += [(a, m.start()), (m.end(), b)]
         kept: list = []  # of matches that overlap, those with the fewest edits
         for m in sorted(fuzzy, key=lambda m: (m[3], m)):
             if not any(k[0] < m[1] and m[0] < k[1] and k[3] < m[3] for k in kept):
