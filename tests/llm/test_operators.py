@@ -501,3 +501,11 @@ def test_leaks(spark, monkeypatch):
     assert [r[0] for r in rows(decontaminate.decontaminate(docs, bench), "doc_id")] == [2, 4, 5, 6, 7]
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(texts)
     assert decontaminate.find_leaks(documents(spark), bench).count() == 0
+
+
+def test_html_elements_without_end_tag():
+    texts = lambda html: [t for _, t, _ in html_extract.blocks(html)]
+    for name in ("video", "object", "svg", "canvas"):
+        assert texts(f"<div><p>one <{name} class=x>not shown</p><p>two</p></div><p>three<{name}>no</{name}> four</p>") == ["one", "two", "three four"]
+        assert texts(f"<div><{name}><{name}>no</{name}>no</{name}>yes<p>a<{name}><p>no</p></{name}>b</p></div>") == ["yes", "ab"]
+    assert texts("<p>one</p><script>var x = '<p>two</p>'") == ["one"]

@@ -35,6 +35,8 @@ BLOCK = frozenset(
     "header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Of the elements without shown text, those whose content is raw text up to the end tag, or to the end of the page.
+RAW = frozenset("script style noscript title textarea iframe".split())
 SILENT = frozenset("script style noscript template title textarea svg math iframe object canvas audio video".split())
 #: Elements that an opening tag ends if they are open inside the nearest container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -43,12 +45,33 @@ CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "summary", "
 PATH_DIMS, WORD_DIMS, SHAPE_DIMS, HIDDEN = 160, 24, 8, 24
 
 
+def _ends(html: str) -> dict[int, int]:
+    """Where the elements without shown text end that are not raw text, by the place of their start; not those without an end tag."""
+    out: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    at = 0
+    while m := TOKEN.search(html, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if name not in SILENT or not m[1] and m[3].rstrip().endswith("/"):
+            continue
+        if m[1]:
+            if begun.get(name):
+                out[begun[name].pop()] = at
+        elif name in RAW:
+            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            at = end.end() if end else len(html)
+        else:
+            begun.setdefault(name, []).append(m.start())
+    return out
+
+
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
     """Path (tags and words of class, id and role), text and share of link text of each block."""
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
     linked, links, path, at = 0, 0, (), 0
+    hidden, ends = 0, None  # open elements whose content is not shown: their stack entries have no words
 
     def flush() -> None:
         nonlocal linked
@@ -63,7 +86,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
         name = m[2]
         if name is None:
             text = m[0]
-            if text[:1] != "<" or text == "<":
+            if not hidden and (text[:1] != "<" or text == "<"):
                 if not pieces:
                     if text.isspace():
                         continue
@@ -78,16 +101,25 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     links -= sum(x[0] == "a" for x in stack[i:])
+                    hidden -= sum(not x[1] for x in stack[i:])
                     del stack[i:]
                     break
             continue
         if name in SILENT and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            if name in RAW:
+                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                at = end.end() if end else len(html)
+                continue
+            ends = _ends(html) if ends is None else ends
+            if (end := ends.get(m.start())) is not None:
+                at = end
+            else:  # closed with its parent
+                stack.append((name, ()))
+                hidden += 1
             continue
         if name in BLOCK:
             flush()
-        elif name == "br":
+        elif name == "br" and not hidden:
             pieces.append(" ")
         if name in VOID:
             continue
@@ -97,6 +129,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in goal:
                     links -= sum(x[0] == "a" for x in stack[i:])
+                    hidden -= sum(not x[1] for x in stack[i:])
                     del stack[i:]
                     break
                 if stack[i][0] in BLOCK and (name in CLOSES_P or stack[i][0] in stop):
