@@ -503,6 +503,13 @@ def test_leaks(spark, monkeypatch):
     assert decontaminate.find_leaks(documents(spark), bench).count() == 0
 
 
+def test_leaks_in_scripts_without_blanks(spark):
+    docs = spark.createDataFrame([(2, "昨日は天気が良かったので公園を散歩しました。"), (4, "ก็วันนี้อากาศดีมากจริงๆ"), (5, "天気")], "doc_id long, text string")
+    bench = spark.createDataFrame([(11, "天気が良かったので公園を散歩"), (12, "วันนี้อากาศดีมาก"), (13, ""), (14, None)], "item_id long, text string")
+    assert rows(decontaminate.find_leaks(docs, bench), "doc_id", "item_id") == [(2, 11), (4, 12)]
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).orderBy("doc_id").collect()] == [5]
+
+
 def test_html_elements_without_end_tag():
     texts = lambda html: [t for _, t, _ in html_extract.blocks(html)]
     for name in ("video", "object", "svg", "canvas"):

@@ -28,17 +28,34 @@ from tidemark.llm._shared import filled, raw_text, shingle_hashes, slices, word_
 TILE, COVERED = 4, 0.6
 #: Bytes of benchmark text that one pass broadcasts.
 SHARD_BYTES = 16 << 20
-#: Words are runs of ASCII letters and digits and of all other characters above ASCII, in lower case.
+#: Words are runs of ASCII letters and digits and of all other characters above ASCII, in lower case; characters of scripts without blanks are words by themselves.
 BETWEEN = np.array([not (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) for c in range(256)])
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
+#: First two UTF-8 bytes of scripts without blanks: Thai, Lao, Myanmar, Khmer, kana and Chinese characters.
+ALONE = np.zeros(1 << 16, bool)
+for _first, _last in ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE383), (0xE390, 0xE3BF), (0xE480, 0xE4BF), (0xE580, 0xE9BF), (0xEFA4, 0xEFAB), (0xF0A0, 0xF0BF)):
+    ALONE[_first : _last + 1] = True
+
+
+def _apart(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with blanks around the characters that are words by themselves."""
+    at = np.flatnonzero(raw[:-1] >= 0xE0)
+    at = at[ALONE[raw[at].astype(np.int64) << 8 | raw[at + 1]]]
+    if not len(at):
+        return raw, bounds
+    places = np.sort(np.concatenate([at, at + 3 + (raw[at] >= 0xF0)]))
+    moved = bounds + np.searchsorted(places, bounds, "left")
+    moved[-1] += len(places) - np.searchsorted(places, bounds[-1], "left")
+    return np.insert(raw, places, 32), moved
+
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, bounds = raw_text(texts)
     low = LOWER[raw]
     latin = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)) + 1
     low[latin] += 32  # capital letters with accents
-    return word_hashes(low, bounds, BETWEEN)
+    return word_hashes(*_apart(low, bounds), BETWEEN)
 
 
 def tiles(item: list[int], text: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
