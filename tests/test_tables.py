@@ -304,3 +304,11 @@ def test_dialect(spark):
     d.run("DROP TABLE ns.w PURGE")
     d.run("DROP TABLE IF EXISTS ns.w")
     assert d.run("DESCRIBE ns.t").count() == 5 and d.run("SHOW FUNCTIONS").count() == 5
+
+
+def test_fts_refuses_what_it_does_not_do(spark, tmp_path):
+    t = Table.create_as(spark, str(tmp_path / "t"), spark.createDataFrame([("walking the dogs",)], "body string"))
+    for option in ("stem", "remove_stop_words"):
+        with pytest.raises(ValueError, match=option):
+            indexes.create_index(t, "f", "fts", ["body"], **{option: "true"})
+    indexes.create_index(t, "f", "fts", ["body"], stem="false", with_position=True)

@@ -41,6 +41,9 @@ def create_index(table, name: str, method: str, columns: list[str], **options) -
         raise ValueError("an index has one column")
     if unknown := set(options) - OPTIONS[method] - SHARED:
         raise ValueError(f"unknown options {sorted(unknown)}")
+    for option in ("stem", "remove_stop_words"):
+        if str(options.get(option, False)).lower() != "false":
+            raise ValueError(f"{option} is not supported: terms are indexed as they stand")
     m = table.manifest()
     column = columns[0]
     head = column.split(".")[0]
