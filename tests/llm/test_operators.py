@@ -222,6 +222,32 @@ def test_jaccard_join(spark, monkeypatch, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == jaccard(data)
 
 
+def test_jaccard_tiles(spark, monkeypatch):
+    """Lists of many components just below and above the similarity, cut into tiles of a few rows."""
+    monkeypatch.setattr(shingle_join, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(shingle_join, "SKETCH_LEAST", 1)
+    r, data = random.Random(8), []
+    for family, (size, members, changes) in enumerate([(120, 60, 2), (300, 40, 4), (60, 40, 1), (2500, 12, 28)]):
+        base = [f"{w}{i % 97}" for i, w in enumerate(prose(family, size).split())]
+        for i in range(members):
+            words = list(base)
+            for p in r.sample(range(size), max(1, changes + r.choice([-1, 0, 1, 1]) * (1 + changes // 9))):
+                words[p] = f"x{r.randrange(10**6)}"
+            data.append((1000 * family + i, " ".join(words)))
+    want = jaccard(data)
+    assert 20 < len({c for _, c in want.values()}) < 140
+    found = shingle_join.jaccard_groups(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found.collect()} == want
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 500, n, np.uint64)) for n in (1, 50, 300, 200, 7)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    found = shingle_join._shared_counts(sets)
+    assert all(found[i, j] == want[i][j] for i in range(5) for j in range(5) if i != j)
+
+
 def test_jaccard_awkward(spark):
     found = shingle_join.jaccard_groups(documents(spark))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.filter("doc_id is not null").collect()}

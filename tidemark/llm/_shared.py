@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -12,7 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that an Arrow slice holds at most, unless one row alone has more.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Rows that Python gets at a time where they hold whole texts, and where they are short.
+TEXT_ROWS, SHORT_ROWS = 250, 4000
+#: Row groups of the tables between steps: what a task holds of a file that it writes.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -26,6 +31,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if base is None:
         found = context._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
             found = context._jsc.sc().getCheckpointDir()
         base = found.get()
@@ -35,7 +42,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS):
     """Jobs inside send Python at most ``rows`` rows at a time: texts are long, and each task holds a batch on either side."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
@@ -46,17 +53,71 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage."""
+def materialize(df: DataFrame, name: str, rows: int = TEXT_ROWS) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage.  Python gets ``rows`` rows at a time."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    with small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark, rows):
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds at most ``limit`` bytes of ``column`` (or one row)."""
+def forget(*written: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing will read any more."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.Table]:
+    """A table for each run of rows that are equal in the columns (long integers), whatever batches it spans."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in columns])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = keys[:, a].tolist()
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+    held = []
+    trim()
+
+
+_models: dict[str, tuple] = {}
+
+
+def model_of(kind: str, make: Callable, *args):
+    """What ``make`` gives for the arguments, kept in the Python worker for its next tasks of this kind."""
+    if _models.get(kind, (None,))[0] != args:
+        _models[kind] = args, make(*args)
+    return _models[kind][1]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, model: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds at most ``limit`` bytes of ``column`` (or one row).
+
+    Models that the worker keeps for tasks of other kinds than ``model`` are dropped.
+    """
+    for kind in [k for k in _models if k != model]:
+        del _models[kind]
+    seen = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -69,6 +130,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = min(to, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+        seen += int(ends[-1] - ends[0])
+    if seen > 32 * SLICE_BYTES:
+        trim()
 
 
 def filled(col: pa.Array) -> pa.Array:

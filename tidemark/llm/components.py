@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import materialize
+from tidemark.llm._shared import forget, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, seen = materialize(edges, name), None
     while True:
-        edges = materialize(_star(_star(edges, True), False), name)
+        before, edges = edges, materialize(_star(_star(edges, True), False), name)
+        forget(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break

@@ -5,19 +5,20 @@ contexts and suffixes are shifts and masks) of trusted text, for each language.
 counts, continuation counts, discounts and context sums are distributed tables that
 grow with the trusted text.  Scoring joins them shard by shard on the n-gram key:
 
-1. a scan gives the counts of trusted text and the distinct n-grams of each chunk of
-   documents (a chunk is an input split, or a part of one);
+1. a scan writes the documents as compressed blobs, each of a chunk of bounded size;
+   from these come the counts of trusted text and the distinct n-grams of each chunk;
 2. the distinct n-grams of all chunks meet the count tables in joins on the n-gram, its
    context and its suffixes, which gives each n-gram's interpolated probability;
 3. every chunk gets back the probabilities of its own n-grams, next to its texts, and
    sums them per document.
 
-Neither the model nor a corpus-wide table is ever broadcast or held in one place.
+Neither the model nor a corpus-wide table is ever broadcast or held in one place.  Chunks
+are written once and read again, so lost executors and other splits don't move them.
 """
 
 from __future__ import annotations
 
-import math
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import KeyTable, materialize, slices
+from tidemark.llm._shared import KeyTable, forget, materialize, slices, small_batches
 
 ORDER, START = 4, 2
 #: One in so many trusted documents isn't trained on; thresholds come from these alone.
 HELD_OUT = 3
-#: Text bytes that a chunk should have; splits larger than this are parted by the documents' hashes.
-CHUNK_BYTES = 32 << 20
+#: Text bytes of a chunk, those of a blob (one text may have more), and the blobs that Python gets at a time.
+CHUNK_BYTES, BLOB_BYTES, BLOBS = 16 << 20, 4 << 20, 4
 #: Rows of (id, hash) keys that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Level of the trusted texts' quantile per language, and the slack on its logarithm over the median's.
@@ -55,16 +56,29 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return key[inside].view(np.int64), np.concatenate([[0], np.cumsum(size)])
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """Identity of a row's text, its language and its chunk (the input split, parted if it is large)."""
-    spark = docs.sparkSession
-    split = str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b")).lower()
-    digits = int("".join(c for c in split if c.isdigit()))
-    digits *= {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(split.rstrip("b")[-1:], 1)
-    parts = max(1, math.ceil(2 * digits / CHUNK_BYTES))
-    text_id = F.xxhash64("doc_id", "lang", "text")
-    chunk = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(text_id, F.lit(parts)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text", text_id.alias("text_id"), chunk.alias("chunk"))
+def _text_id() -> Column:
+    return F.xxhash64("doc_id", "lang", "text", F.col("lang").isNull())
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as compressed blobs: less to write and shuffle, and a few at a time to hold."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))
+    chunk, held = 0, CHUNK_BYTES
+    for batch in slices(batches, "text", BLOB_BYTES):
+        if held + batch.column("text").nbytes > CHUNK_BYTES:
+            chunk, held = int.from_bytes(os.urandom(8), "little", signed=True), 0  # only tells chunks apart
+        held += batch.column("text").nbytes
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+            out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("packed"), strict=True):
+            for rows in slices(pa.ipc.open_stream(blob.as_buffer()), "text"):
+                yield chunk, rows
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,14 +94,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             schema=schema,
         )
 
-    for batch in slices(batches, "text", 1 << 20):
-        texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-        chunks, trusted = batch.column("chunk").to_pylist(), batch.column("trained").to_pylist()
-        groups: dict[tuple[int, str, bool], list[str]] = {}
-        for text, lang, chunk, t in zip(texts, langs, chunks, trusted, strict=True):
+    for chunk, batch in _unpacked(batches):
+        groups: dict[tuple[str, bool], list[str]] = {}
+        for text, lang, t in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "trained")), strict=True):
             if text:
-                groups.setdefault((chunk, lang, bool(t)), []).append(text)
-        for (chunk, lang, t), own in groups.items():
+                groups.setdefault((lang, t), []).append(text)
+        for (lang, t), own in groups.items():
             keys = grams(own)[0]
             if t:
                 keys, n = np.unique(keys, return_counts=True)
@@ -162,21 +174,7 @@ def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.select("lang", "g", "p")
 
 
-SCORED = T.StructType().add("doc_id", "long").add("text_id", "long").add("lang", "string").add("n_units", "long").add("perplexity", "double")
-_SCORED = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("lang", pa.string()), ("n_units", pa.int64()), ("perplexity", pa.float64())])
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of a chunk as compressed blobs: less to shuffle, and a few at a time to hold."""
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))
-    for batch in slices(batches, "text", 4 << 20):
-        chunks = batch.column("chunk").to_numpy()
-        for chunk in np.unique(chunks):
-            own = batch.filter(pa.array(chunks == chunk)).drop_columns(["chunk"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, own.schema, options=options) as out:
-                out.write_batch(own)
-            yield pa.RecordBatch.from_arrays([pa.array([int(chunk)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "packed"])
+SCORED = T.StructType().add("doc_id", "long").add("text_id", "long").add("lang", "string").add("trusted", "boolean").add("trained", "boolean").add("n_units", "long").add("perplexity", "double")
 
 
 def _score(packed: pa.Table, model: pa.Table) -> pa.Table:
@@ -187,23 +185,23 @@ def _score(packed: pa.Table, model: pa.Table) -> pa.Table:
         fresh, at = np.unique(keys[which == i], return_index=True)
         tables[lang] = KeyTable(fresh), logs[which == i][at]
     out = []
-    for blob in packed.column("packed"):
-        for batch in slices(pa.ipc.open_stream(blob.as_buffer()), "text", 1 << 20):
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            ppl: list[float | None] = [None] * len(langs)
-            sizes = np.zeros(len(langs), np.int64)
-            for lang in set(langs):
-                mine = [i for i, x in enumerate(langs) if x == lang]
-                found, bounds = grams([texts[i] for i in mine])
-                sizes[mine] = np.diff(bounds)
-                if lang in tables:
-                    table, values = tables[lang]
-                    sums = np.concatenate([[0.0], np.cumsum(values[table.find(found)])])
-                    for i, a, b in zip(mine, bounds, bounds[1:], strict=False):
-                        if b > a:
-                            ppl[i] = float(np.exp((sums[a] - sums[b]) / (b - a)))
-            out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), batch.column("lang"), pa.array(sizes), pa.array(ppl, pa.float64())], schema=_SCORED))
-    return pa.Table.from_batches(out, _SCORED)
+    for _, batch in _unpacked(packed.to_batches()):
+        langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+        ppl, sizes = np.full(len(langs), np.nan), np.zeros(len(langs), np.int64)
+        for lang in set(langs):
+            mine = np.array([i for i, x in enumerate(langs) if x == lang])
+            found, bounds = grams([texts[i] for i in mine])
+            sizes[mine] = np.diff(bounds)
+            if lang in tables and len(found):
+                table, values = tables[lang]
+                if (place := table.find(found)).min() < 0:
+                    raise RuntimeError("an n-gram of a document has no probability")
+                full = mine[sizes[mine] > 0]
+                starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+                ppl[full] = np.exp(-np.add.reduceat(values[place], starts) / sizes[full])
+        columns = [batch.column(c) for c in SCORED.names[:5]]
+        out.append(pa.RecordBatch.from_arrays([*columns, pa.array(sizes), pa.array(ppl, mask=np.isnan(ppl))], names=SCORED.names))
+    return pa.Table.from_batches(out)
 
 
 def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -219,20 +217,25 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     languages without trusted text, and documents without text, have null perplexity.
     Repeated rows give a row each; null ids are never trusted.
     """
+    spark = docs.sparkSession
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     ids = ids.withColumns({"trusted": F.lit(True), "trained": F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) != 0})
-    ids = small(materialize(ids, "trusted"))
-    rows = _chunked(docs)
-    seen = rows.join(ids, "doc_id", "left").select("chunk", "lang", "text", F.coalesce("trained", F.lit(False)).alias("trained"))
-    gathered = materialize(seen.mapInArrow(_gather, "chunk long, lang string, g long, n long"), "grams")
+    ids = materialize(ids, "trusted")
+    # a language is "s" and its name, no language "n"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col("lang").cast("string")), F.lit("n")).alias("lang"), F.col("text").cast("string").alias("text"), _text_id().alias("text_id"))
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("trusted", "trained")}
+    packed = materialize(rows.join(small(ids), "doc_id", "left").withColumns(flags).mapInArrow(_pack, "chunk long, packed binary"), "packed")
+    with small_batches(spark, BLOBS):
+        gathered = materialize(packed.mapInArrow(_gather, "chunk long, lang string, g long, n long"), "grams")
     counts = materialize(gathered.filter("n is not null").groupBy("lang", "g").agg(F.sum("n").alias("n")), "counts")
     wanted = gathered.filter("n is null").join(counts.select("lang").distinct(), "lang", "left_semi").select("chunk", "lang", "g")
     model = materialize(probabilities(counts, wanted.select("lang", "g").distinct()), "model")
     own = wanted.join(model, ["lang", "g"]).select("chunk", "lang", "g", F.log("p").alias("logp"))
-    packed = rows.mapInArrow(_pack, "chunk long, packed binary")
     scored = packed.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_score, SCORED)
-    flags = {c: F.coalesce(c, F.lit(False)) for c in ("trusted", "trained")}
-    return materialize(scored, "scores").join(ids, "doc_id", "left").withColumns(flags)
+    scored = scored.withColumn("lang", F.when(F.col("lang") != "n", F.expr("substring(lang, 2)")))
+    scores = materialize(scored.select("doc_id", "text_id", "lang", "n_units", "perplexity", "trusted", "trained"), "scores")
+    forget(ids, packed, gathered, counts, model)
+    return scores
 
 
 def thresholds(scores: DataFrame, level: float = LEVEL, slack: float = SLACK) -> DataFrame:
@@ -253,11 +256,12 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, level: float = LEVEL, slack:
     documents, and those without perplexity or threshold, are kept.
     """
     scores = perplexities(docs, trusted_ids)
-    out = scores.join(F.broadcast(thresholds(scores, level, slack)), "lang", "left")
+    limits = thresholds(scores, level, slack).withColumnRenamed("lang", "of")
+    out = scores.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
     return out.withColumn("kept", F.coalesce(F.col("trusted") | (F.col("perplexity") <= F.col("threshold")), F.lit(True)))
 
 
 def filter_quality(docs: DataFrame, trusted_ids: DataFrame, level: float = LEVEL, slack: float = SLACK) -> DataFrame:
     """The documents (all columns) that judge() keeps."""
     gone = materialize(judge(docs, trusted_ids, level, slack).filter("not kept").select(F.col("text_id").alias("__id")).distinct(), "rejected")
-    return docs.withColumn("__id", F.xxhash64("doc_id", "lang", "text")).join(small(gone), "__id", "left_anti").select(*docs.columns)
+    return docs.withColumn("__id", _text_id()).join(small(gone), "__id", "left_anti").select(*docs.columns)

@@ -13,7 +13,9 @@ subsets' cost passes the lists' cost for the sizes at hand.
 
 Long lists don't give all their pairs.  They are dealt into sub-lists, whose members
 are first compared with one pivot.  Only where a list's members still lie in different
-components afterwards are their pairs compared, so no link between components is lost.
+components afterwards are they compared with each other, in tiles of bounded size: first
+by bitmaps, then those with a partner on their whole sets.  A tile gives a spanning forest
+of its links, so no link between components is lost and no list gives all its pairs.
 
 A fixed-size sketch of shingle counts orders the shingles; a poor order costs time only.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import filled, materialize, mix, raw_text, shingle_hashes, slices, word_hashes
+from tidemark.llm._shared import SHORT_ROWS, filled, forget, materialize, mix, raw_text, runs, shingle_hashes, slices, word_hashes
 from tidemark.llm.components import connected_components
 
 BETWEEN = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
@@ -273,25 +275,42 @@ def _sets(k: int) -> Callable:
     return run
 
 
-#: Bits of a set's parity bitmap, which bounds how far two sets differ.
-MAP_BITS = 1024
+#: Bits of a set's parity bitmap, which bounds how far two sets differ: a power of two of the set's size or more, within these.
+MAP_LEAST, MAP_MOST = 512, 1 << 16
 
 
-def _bitmaps(k: int) -> Callable:
-    """Per document: size, and the parity of the number of its hashes in each of MAP_BITS classes."""
+def _maps(k: int) -> Callable:
+    """Per document: size of its set, and the parity of the number of hashes in each of a power of two of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = Shingles(batch.column("text"), k)
             own = [sets.set(i) for i in range(len(sets))]
-            odd = [np.packbits(np.bincount(mix(h).astype(np.int64) & (MAP_BITS - 1), minlength=MAP_BITS) & 1 > 0).tobytes() for h in own]
+            odd = []
+            for h in own:
+                size = min(MAP_MOST, max(MAP_LEAST, 1 << max(0, len(h) - 1).bit_length()))
+                odd.append(np.packbits(np.bincount(mix(h).astype(np.int64) & (size - 1), minlength=size) & 1 > 0).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(h) for h in own], pa.int32()), pa.array(odd, pa.binary())], names=["id", "n", "bits"])
 
     return run
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+def _by_size(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and signs (1 or -1 for each bit) of the bitmaps of each size."""
+    raw = column.to_pylist()
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        bits = np.unpackbits(np.frombuffer(b"".join([raw[i] for i in at]), np.uint8)).reshape(len(at), -1)
+        yield at, 1 - 2 * bits.astype(np.float32)
+
+
+def _folded(signs: np.ndarray, size: int) -> np.ndarray:
+    """The signs of a smaller bitmap of the same sets."""
+    while signs.shape[1] > size:
+        half = signs.shape[1] // 2
+        signs = signs[:, :half] * signs[:, half:]
+    return signs
 
 
 def _allowed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -306,46 +325,147 @@ def _plausible(percent: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n1", "n2"))
+            allowed, kept = _allowed(n, m, percent), np.zeros(batch.num_rows, bool)
+            close = np.flatnonzero(allowed >= 0)  # bitmaps of these differ in size by a factor of two at most
+            one, other = (batch.column(c).take(pa.array(close)) for c in ("bits1", "bits2"))
+            for i, left in _by_size(one):
+                for j, right in _by_size(other):
+                    both, x, y = np.intersect1d(i, j, assume_unique=True, return_indices=True)
+                    size = min(left.shape[1], right.shape[1])
+                    for a in range(0, len(both), step := max(1, (1 << 20) // size)):
+                        differ = (size - np.einsum("ij,ij->i", _folded(left[x[a : a + step]], size), _folded(right[y[a : a + step]], size))) / 2
+                        at = close[both[a : a + step]]
+                        kept[at] = differ <= allowed[at]
             if batch.num_rows:
-                differ = np.bitwise_count(_words(batch.column("bits1")) ^ _words(batch.column("bits2"))).sum(1, dtype=np.int64)
-                n, m = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
-                yield batch.select(["a", "b"]).filter(pa.array(differ <= _allowed(n, m, percent)))
+                yield batch.select(["a", "b"]).filter(pa.array(kept))
 
     return run
 
 
-def _across(percent: int, once: bool, block: int = 256) -> Callable:
-    """Pairs from different components within each list (rows sorted by key) that bitmaps don't rule out.
+#: Members and shingles of a block of a list; lists with more are compared block against block, each two in a task.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
+#: Of so many lists (those of the least keys) a member knows the keys.
+KNOWN = 8
+
 
-    ``once``: one pair for each two components of a list, not all.
+def _tiles(member: DataFrame) -> DataFrame:
+    """Lists whose members lie in different components, cut into tiles ``i``, ``j`` of two blocks (``key``, ``id``, ``group``, ``side``).
+
+    Of lists with the same members one is left.  A list's largest component is not
+    compared with itself, so its rows are copied only as often as the others need blocks.
+    """
+    per = member.groupBy("key", "group").agg(F.count("*").alias("c"), F.sum("n").alias("w"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"s{i}") for i in (1, 2)])
+    lists = per.groupBy("key").agg(
+        F.count("*").alias("groups"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.max(F.struct("w", "c", "group")).alias("main"), *[F.bit_xor(f"s{i}").alias(f"s{i}") for i in (1, 2)]
+    ).filter("groups > 1")
+    lists = lists.groupBy("c", "w", "s1", "s2").agg(F.min(F.struct("key", "main")).alias("x")).select("x.key", "x.main", "c", "w")
+    need = lambda c, w: F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    one = need(F.col("c"), F.col("w")) == 1
+    lists = lists.select(
+        "key", F.when(one, F.lit(None)).otherwise(F.col("main.group")).alias("main"),
+        F.when(one, 1).otherwise(F.greatest(F.lit(1), need(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w")))).alias("others"),
+        F.when(one, 0).otherwise(need(F.col("main.c"), F.col("main.w"))).alias("mains"),
+    )
+    inside, spread = F.col("group").eqNullSafe(F.col("main")) & (F.col("mains") > 0), F.xxhash64("id")
+    own = F.when(inside, F.col("others") + F.pmod(spread, F.col("mains"))).otherwise(F.pmod(spread, F.col("others"))).cast("int")
+    against = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    rows = member.join(lists, "key").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), against - 1)))
+    return rows.select("key", F.least("own", "with").cast("int").alias("i"), F.greatest("own", "with").cast("int").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "id", "group")
+
+
+def _partnered(percent: int) -> Callable:
+    """Members of a tile with a partner there: one of another component that bitmaps don't rule out.
+
+    A pair counts in the first of the lists that both are known to be in, not in each.
     """
 
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, n, group = (rows.column(c).to_numpy() for c in ("id", "n", "group"))
-        bits = _words(rows.column("bits").combine_chunks())
-        for a in range(0, len(ids), block):
-            one = slice(a, a + block)
-            differ = np.bitwise_count(bits[one, None, :] ^ bits[None, a:, :]).sum(2, dtype=np.int64)
-            good = (differ <= _allowed(n[one, None], n[None, a:], percent)) & (group[one, None] != group[None, a:])
-            i, j = np.nonzero(np.triu(good, 1))
-            if once and len(i):
-                i, j = i[(first := np.unique(np.stack([group[a + i], group[a + j]]), axis=1, return_index=True)[1])], j[first]
-            if len(i):
-                x, y = ids[a + i], ids[a + j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+    def kept(rows: pa.Table) -> np.ndarray:
+        key, (n, group, side) = rows.column("key")[0].as_py(), (rows.column(c).to_numpy() for c in ("n", "group", "side"))
+        halves = rows.column("i")[0] != rows.column("j")[0]
+        known = np.full((len(rows), KNOWN), key, np.int64)
+        for i, keys in enumerate(rows.column("known").to_pylist()):
+            known[i, : len(keys)] = keys
+        earlier = known < key
+        out = np.zeros(len(rows), bool)
+        maps = {signs.shape[1]: (at, signs) for at, signs in _by_size(rows.column("bits").combine_chunks())}
+        for size, (x, left) in maps.items():
+            for other in (size, 2 * size):
+                if other not in maps:
+                    continue
+                y, right = maps[other]
+                right = _folded(right, size)
+                for a in range(0, len(x), step := max(16, (1 << 20) // len(y))):
+                    rows_, differ = x[a : a + step], (size - left[a : a + step] @ right.T) / 2
+                    good = (differ <= _allowed(n[rows_, None], n[None, y], percent)) & (group[rows_, None] != group[None, y])
+                    if halves:
+                        good &= side[rows_, None] != side[None, y]
+                    p, q = np.nonzero(good)
+                    p, q = rows_[p], y[q]
+                    for b in range(0, len(p), 1 << 16):
+                        u, v = p[b : b + (1 << 16)], q[b : b + (1 << 16)]
+                        met = ((known[u][:, :, None] == known[v][:, None, :]) & earlier[u][:, :, None]).any((1, 2))
+                        out[u[~met]] = out[v[~met]] = True
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            keys = rest.column("key").to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                yield from pairs(rest.slice(a, b - a))
-            rest = rest.slice(cuts[-1])  # the list may go on
-        if rest is not None and len(rest):
-            yield from pairs(rest)
+        for rows in runs(batches, "key", "i", "j"):
+            if (mask := kept(rows)).any():
+                yield from rows.select(["key", "i", "j", "side", "id", "group"]).filter(pa.array(mask)).combine_chunks().to_batches()
+
+    return run
+
+
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each two sets, by products of the 0-1 matrix of the elements that more than one has."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    common = count > 1
+    number, owner = (np.cumsum(common) - 1)[number[at := common[number]]], owner[at]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    out, width = np.zeros((len(sets), len(sets)), np.float32), max(64, (1 << 21) // len(sets))
+    for first in range(0, int(common.sum()), width):
+        a, b = np.searchsorted(number, [first, first + width])
+        block = np.zeros((len(sets), width), np.float32)
+        block[owner[a:b], number[a:b] - first] = 1
+        out += block @ block.T
+    return out.astype(np.int64)
+
+
+def _tile_links(percent: int) -> Callable:
+    """A spanning forest of the links between components in each tile, on the whole sets."""
+
+    def links(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, group, side = (rows.column(c).to_numpy() for c in ("id", "group", "side"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in rows.column("hashes").chunks for x in chunk]
+        size, shared = np.array([len(s) for s in sets]), _shared_counts(sets)
+        near = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+        if rows.column("i")[0] != rows.column("j")[0]:
+            near &= side[:, None] != side[None, :]
+        names, label = np.unique(group, return_inverse=True)
+        parent, a, b = np.arange(len(names)), [], []
+        while (found := np.flatnonzero((near := near & (label[:, None] != label[None, :])).any(1))).size:
+            for x, y in zip(found.tolist(), near[found].argmax(1).tolist(), strict=True):
+                u, v = label[x], label[y]
+                while parent[u] != u:
+                    u = parent[u]
+                while parent[v] != v:
+                    v = parent[v]
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    a.append(ids[x])
+                    b.append(ids[y])
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            label = parent[label]
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, "key", "i", "j"):
+            a, b = links(rows)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -356,17 +476,37 @@ def _pick(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar; only the documents that are in a pair give their sets."""
+def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``id`` and ``hashes`` of the documents with these ids."""
+    return materialize(_pick(docs, materialize(ids.distinct(), "members"), "left_semi").mapInArrow(_sets(k), "id long, hashes binary"), "hashes")
 
-    def sets(column: str, name: str) -> DataFrame:
-        own = _pick(docs, materialize(pairs.select(column).distinct(), "members"), "left_semi").mapInArrow(_sets(k), "id long, hashes binary")
-        return own.select(F.col("id").alias(column), F.col("hashes").alias(name))
 
-    both = pairs.join(sets("a", "left"), "a").join(sets("b", "right"), "b").select("a", "b", "left", "right")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets are similar."""
+    side = lambda column, name: sets.select(F.col("id").alias(column), F.col("hashes").alias(name))
+    both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
     return materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
+def _list_links(open_: DataFrame, groups: DataFrame, maps: DataFrame, docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
+    """Links between components that meet in the lists ``open_`` (``key``, ``n``, ``id``): enough to join all that are linked there.
+
+    What leaves a list is linear in its entries: the members that have a partner, by
+    their bitmaps, and of these, compared on their whole sets, a spanning forest.
+    """
+    own = groups.select(F.col("node").alias("id"), F.col("component").alias("group"))
+    member = open_.join(own, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    tiles = materialize(_tiles(member), "tiles")
+    known = tiles.select("id", "key").distinct().groupBy("id").agg(F.slice(F.array_sort(F.collect_list("key")), 1, KNOWN).alias("known"))
+    dealt = lambda rows: rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    rows = tiles.join(known, "id").join(maps.select("id", "n", "bits"), "id")
+    rows = materialize(dealt(rows).mapInArrow(_partnered(percent), "key long, i int, j int, side int, id long, group long"), "partnered", SHORT_ROWS)
+    sets = _sets_of(rows.select("id"), docs, k)
+    links = materialize(dealt(rows.join(sets, "id")).mapInArrow(_tile_links(percent), "a long, b long"), "links")
+    forget(tiles, rows, sets)
+    return links
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles`` and ``component_id``.
 
@@ -402,40 +542,31 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     entries = firsts.mapInArrow(_entries(k, percent, light, shipped), ENTRY)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = entries.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "n", "id")
-    found = materialize(entries.mapInArrow(_scan(percent), FOUND), "found")
+    found = materialize(entries.mapInArrow(_scan(percent), FOUND), "found", SHORT_ROWS)
 
     pairs = found.filter(F.col("kind") == PAIR).filter("a != b").select("a", "b").distinct()
     open_ = found.filter(F.col("kind") == OPEN).select("key", "n", F.col("a").alias("id")).distinct()
     pairs = materialize(pairs, "pairs")
     open_ = materialize(open_, "open")
     members = materialize(pairs.select("a").union(pairs.select("b")).union(open_.select("id")).distinct(), "members")
-    maps = materialize(_pick(docs, members, "left_semi").mapInArrow(_bitmaps(k), "id long, n int, bits binary"), "bitmaps")
+    maps = materialize(_pick(docs, members, "left_semi").mapInArrow(_maps(k), "id long, n int, bits binary"), "maps")
     one, other = (maps.select(F.col("id").alias(x), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"bits{i}")) for i, x in ((1, "a"), (2, "b")))
-    pairs = materialize(pairs.join(one, "a").join(other, "b").mapInArrow(_plausible(percent), "a long, b long"), "plausible")
+    plausible = materialize(pairs.join(one, "a").join(other, "b").mapInArrow(_plausible(percent), "a long, b long").distinct(), "plausible", SHORT_ROWS)
     links = _subset_links(found.filter(F.col("kind") == SUBSET).select("key", F.col("n").alias("role"), F.col("a").alias("id")))
     # first one pair for each document, with the least partner: enough for groups of near copies
-    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = links.union(_linked(first, docs, k, percent)).union(ties)
-    groups = materialize(connected_components(links, "sets"), "groups")
+    first = materialize(plausible.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    sets = _sets_of(plausible.select("a").union(plausible.select("b")), docs, k)
+    started = materialize(connected_components(links.union(_linked(first, sets, percent)).union(ties), "sets"), "groups")
 
+    # then the other pairs, and the lists, as far as they still lie in different components
     def placed(rows: DataFrame, column: str) -> DataFrame:
-        own = groups.select(F.col("node").alias(column), F.col("component").alias(f"{column}_group"))
+        own = started.select(F.col("node").alias(column), F.col("component").alias(f"{column}_group"))
         return rows.join(own, column, "left").withColumn(f"{column}_group", F.coalesce(f"{column}_group", column))
 
-    # then one pair for each two components that meet, then all pairs that still lie in different components
-    for once in (True, False):
-        member = placed(open_.select("key", "id"), "id").withColumnRenamed("id_group", "group")
-        split = member.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low != high").select("key")
-        lists = member.join(split, "key").join(maps, "id").select("key", "id", "n", "group", "bits")
-        across = lists.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_across(percent, once), "a long, b long")
-        rest = placed(placed(pairs.union(across.distinct()), "a"), "b").filter("a_group != b_group")
-        if once:
-            two = [F.least("a_group", "b_group"), F.greatest("a_group", "b_group")]
-            rest = rest.groupBy(*two).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        else:
-            rest = rest.select("a", "b").distinct()
-        links = links.union(_linked(materialize(rest, "rest"), docs, k, percent))
-        groups = materialize(connected_components(links, "sets"), "groups")
+    rest = materialize(placed(placed(plausible, "a"), "b").filter("a_group != b_group").select("a", "b"), "rest")
+    links = started.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_linked(rest, sets, percent)).union(_list_links(open_, started, maps, docs, k, percent, parts))
+    groups = materialize(connected_components(links, "sets"), "groups")
+    forget(copies, mixed, found, pairs, open_, members, maps, plausible, sets, first, started, rest)
 
     node = F.coalesce("rep", "doc_id")
     out = keys.join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"], "left").withColumn("node", node)
