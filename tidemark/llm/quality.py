@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import KeyTable, forget, materialize, slices, small_batches
+from tidemark.llm._shared import KeyTable, forget, materialize, slices, small_batches, trim
 
 ORDER, START = 4, 2
 #: One in so many trusted documents isn't trained on; thresholds come from these alone.
 HELD_OUT = 3
 #: Text bytes of a chunk, those of a blob (one text may have more), and the blobs that Python gets at a time.
-CHUNK_BYTES, BLOB_BYTES, BLOBS = 16 << 20, 4 << 20, 4
+CHUNK_BYTES, BLOB_BYTES, BLOBS = 16 << 20, 4 << 20, 8
 #: Rows of (id, hash) keys that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Level of the trusted texts' quantile per language, and the slack on its logarithm over the median's.
@@ -77,7 +77,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     for batch in batches:
         for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("packed"), strict=True):
-            for rows in slices(pa.ipc.open_stream(blob.as_buffer()), "text"):
+            for rows in slices(pa.ipc.open_stream(blob.as_buffer()), "text", 1 << 20):
                 yield chunk, rows
 
 
@@ -94,7 +94,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             schema=schema,
         )
 
+    last = None
     for chunk, batch in _unpacked(batches):
+        if chunk != last:  # a chunk's blobs follow each other; sums and distinct follow
+            yield from (rows(c, k, v, None) for (c, k), v in wanted.items())
+            wanted.clear()
+            last = chunk
         groups: dict[tuple[str, bool], list[str]] = {}
         for text, lang, t in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "trained")), strict=True):
             if text:
@@ -112,10 +117,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = np.unique(keys)
             seen = wanted.get((chunk, lang))
             wanted[chunk, lang] = keys if seen is None else np.union1d(seen, keys)
-        if sum(map(len, wanted.values())) > 4_000_000:  # what a task holds is bounded; sums and distinct follow
-            yield from (rows(c, k, v, None) for (c, k), v in wanted.items())
-            wanted.clear()
-        if sum(len(v[0]) for v in counted.values()) > 4_000_000:
+        if sum(len(v[0]) for v in counted.values()) > 1_000_000:  # what a task holds is bounded
             yield from (rows(None, k, *v) for k, v in counted.items())
             counted.clear()
     yield from (rows(c, k, v, None) for (c, k), v in wanted.items())
@@ -201,6 +203,8 @@ def _score(packed: pa.Table, model: pa.Table) -> pa.Table:
                 ppl[full] = np.exp(-np.add.reduceat(values[place], starts) / sizes[full])
         columns = [batch.column(c) for c in SCORED.names[:5]]
         out.append(pa.RecordBatch.from_arrays([*columns, pa.array(sizes), pa.array(ppl, mask=np.isnan(ppl))], names=SCORED.names))
+    tables.clear()
+    trim()
     return pa.Table.from_batches(out)
 
 
