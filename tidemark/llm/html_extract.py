@@ -26,7 +26,10 @@ from pyspark.sql import types as T
 
 from tidemark.llm._shared import slices
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|[^<]+|<""", re.S)
+STOP = re.compile(r"""["'>]""")
+#: Quoted values with a ``<`` in a tag, from which on its quotes count as not closed.
+ODD_VALUES = 16
 HINT = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 #: Fixed lists of the HTML standard: what ends a block, what has no end tag, whose text is never shown.
@@ -35,9 +38,11 @@ BLOCK = frozenset(
     "header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Of the elements without shown text, those whose content is raw text up to the end tag, or to the end of the page.
-RAW = frozenset("script style noscript title textarea iframe".split())
-SILENT = frozenset("script style noscript template title textarea svg math iframe object canvas audio video".split())
+#: Elements without shown text.  RAW: their content is raw text up to the end tag; of REST, or to the end of the page.  FOREIGN may close themselves.
+REST = frozenset("script style title textarea".split())
+RAW = REST | frozenset("noscript iframe".split())
+SILENT = RAW | frozenset("template svg math object canvas audio video".split())
+FOREIGN = frozenset("svg math".split())
 #: Elements that an opening tag ends if they are open inside the nearest container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "summary", "figcaption", "tbody", "thead", "tfoot", "tr", "td", "th", "li", "dt", "dd"}
@@ -45,24 +50,84 @@ CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "summary", "
 PATH_DIMS, WORD_DIMS, SHAPE_DIMS, HIDDEN = 160, 24, 8, 24
 
 
-def _ends(html: str) -> dict[int, int]:
-    """Where the elements without shown text end that are not raw text, by the place of their start; not those without an end tag."""
-    out: dict[int, int] = {}
-    begun: dict[str, list[int]] = {}
-    at = 0
-    while m := TOKEN.search(html, at):
-        at, name = m.end(), (m[2] or "").lower()
-        if name not in SILENT or not m[1] and m[3].rstrip().endswith("/"):
-            continue
-        if m[1]:
-            if begun.get(name):
-                out[begun[name].pop()] = at
-        elif name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-        else:
-            begun.setdefault(name, []).append(m.start())
-    return out
+class Markup:
+    """Reads a page piece by piece, in time that grows with its length, however broken it is."""
+
+    def __init__(self, html: str):
+        self.html, self.none_behind = html, {}
+
+    def find(self, what: str, at: int) -> int:
+        """Place of a string from ``at`` on, or -1; that there is none is remembered."""
+        if at >= self.none_behind.get(what, len(self.html) + 1):
+            return -1
+        if (found := self.html.find(what, at)) < 0:
+            self.none_behind[what] = at
+        return found
+
+    def attributes(self, at: int) -> tuple[str, int]:
+        """What stands in a tag behind its name, and the tag's end.
+
+        A quoted value that holds a ``<`` is believed only if a blank, ``/`` or ``>``
+        follows it.  Where quotes are not closed, the tag ends at its first ``>``, or
+        before the next ``<``.
+        """
+        html, place, odd = self.html, at, 0
+        while m := STOP.search(html, place):
+            if m[0] == ">":
+                return html[at : m.start()], m.end()
+            close = self.find(m[0], m.end())
+            if close < 0:
+                break
+            if 0 <= html.find("<", m.end(), close):
+                odd += 1
+                if odd > ODD_VALUES or html[close + 1 : close + 2] not in (" ", "\t", "\n", "\r", "\f", "/", ">"):
+                    break
+            place = close + 1
+        end, other = self.find(">", at), self.find("<", at)
+        if end >= 0 and (other < 0 or end < other):
+            return html[at:end], end + 1
+        stop = other if other >= 0 else len(html)
+        return html[at:stop], stop
+
+    def read(self, at: int) -> tuple[int, str, str, str, str] | None:
+        """End of the piece at ``at``, "/" of an end tag, name and attributes of a tag, text (of anything else); None at the end."""
+        if not (m := TOKEN.match(self.html, at)):
+            return None
+        if m[2] is None:
+            return m.end(), "", "", "", m[0]
+        attributes, end = self.attributes(m.end())
+        return end, m[1], m[2].lower(), attributes, ""
+
+    def raw_end(self, name: str, at: int) -> int | None:
+        """Where the raw text of an element ends; None if it has no end tag and need not reach the page's end."""
+        key = f"</{name}"
+        if at < self.none_behind.get(key, len(self.html) + 1):
+            if end := re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(self.html, at):
+                return end.end()
+            self.none_behind[key] = at
+        return len(self.html) if name in REST else None
+
+    def ends(self) -> dict[int, int]:
+        """Where the elements without shown text end that are not raw text, by the place of their start; not those without an end tag."""
+        out: dict[int, int] = {}
+        begun: dict[str, list[int]] = {}
+        at = 0
+        while (piece := self.read(at)) is not None:
+            begin, (at, slash, name, attributes, _) = at, piece
+            if name not in SILENT or not slash and name in FOREIGN and attributes.rstrip().endswith("/"):
+                continue
+            if slash:
+                if begun.get(name):
+                    out[begun[name].pop()] = at
+            elif name in RAW and (end := self.raw_end(name, at)) is not None:
+                at = end
+            else:
+                begun.setdefault(name, []).append(begin)
+        return out
+
+
+#: Open elements, beyond which a page's further elements are not nested.
+DEPTH = 512
 
 
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
@@ -70,7 +135,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
-    linked, links, path, at = 0, 0, (), 0
+    page, linked, links, path, at = Markup(html), 0, 0, (), 0
     hidden, ends = 0, None  # open elements whose content is not shown: their stack entries have no words
 
     def flush() -> None:
@@ -81,39 +146,41 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
             pieces.clear()
             linked = 0
 
-    while m := TOKEN.search(html, at):
-        at = m.end()
-        name = m[2]
-        if name is None:
-            text = m[0]
+    def close(i: int) -> None:
+        nonlocal links, hidden
+        links -= sum(x[0] == "a" for x in stack[i:])
+        hidden -= sum(not x[1] for x in stack[i:])
+        del stack[i:]
+
+    known: dict[tuple[str, ...], tuple[str, ...]] = {}
+    while (piece := page.read(at)) is not None:
+        begin, (at, slash, name, attributes, text) = at, piece
+        if not name:
             if not hidden and (text[:1] != "<" or text == "<"):
                 if not pieces:
                     if text.isspace():
                         continue
                     path = tuple(w for _, words in stack for w in words)
+                    path = known.setdefault(path, path)
                 pieces.append(text)
                 linked += len(text) if links else 0
             continue
-        name = name.lower()
-        if m[1]:
+        if slash:
             if name in BLOCK:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    hidden -= sum(not x[1] for x in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
             continue
-        if name in SILENT and not m[3].rstrip().endswith("/"):
-            if name in RAW:
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+        if name in SILENT and not (name in FOREIGN and attributes.rstrip().endswith("/")):
+            if name in RAW and (end := page.raw_end(name, at)) is not None:
+                at = end
                 continue
-            ends = _ends(html) if ends is None else ends
-            if (end := ends.get(m.start())) is not None:
+            ends = page.ends() if ends is None else ends
+            if (end := ends.get(begin)) is not None:
                 at = end
-            else:  # closed with its parent
+            elif len(stack) < DEPTH:  # closed with its parent
                 stack.append((name, ()))
                 hidden += 1
             continue
@@ -128,14 +195,14 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
             goal = {"p"} if name in CLOSES_P else ENDS[name]
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in goal:
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    hidden -= sum(not x[1] for x in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BLOCK and (name in CLOSES_P or stack[i][0] in stop):
                     break
+        if len(stack) >= DEPTH:
+            continue
         words = [name]
-        for h in HINT.finditer(m[3]) if m[3] else ():
+        for h in HINT.finditer(attributes) if attributes else ():
             words += [f".{w}" for w in SPLIT.split((h[2] or h[3] or h[4] or "").lower()) if w]
         stack.append((name, tuple(words)))
         links += name == "a"
@@ -161,9 +228,11 @@ def _word_slot(word: str) -> int:
     return zlib.crc32(word.lower().encode("utf-8", "replace")) % WORD_DIMS
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
-    out = np.zeros((len(page), PATH_DIMS + WORD_DIMS + SHAPE_DIMS), np.float32)
-    for i, (path, text, linked) in enumerate(page):
+def vectors(page: list[tuple[tuple[str, ...], str, float]], first: int = 0, last: int | None = None) -> np.ndarray:
+    """Vectors of a page's blocks, or of some of them."""
+    last = len(page) if last is None else min(last, len(page))
+    out = np.zeros((last - first, PATH_DIMS + WORD_DIMS + SHAPE_DIMS), np.float32)
+    for i, (path, text, linked) in enumerate(page[first:last]):
         words = text.split(" ")
         out[i, :PATH_DIMS] = _path_vector(path)
         bag = np.bincount(np.fromiter(map(_word_slot, words), np.int64, len(words)), minlength=WORD_DIMS)
@@ -171,7 +240,7 @@ def vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
         ends = text.count(". ") + text.count("! ") + text.count("? ") + (text[-1] in ".!?")
         out[i, PATH_DIMS + WORD_DIMS :] = (
             np.log1p(len(words)) / 5, min(1, len(words) / 100), linked, min(1, ends / 5), text[-1] in ".!?:;\"",
-            "©" in text, i / len(page), 1 / (1 + len(page)),
+            "©" in text, (first + i) / len(page), 1 / (1 + len(page)),
         )
     return out
 
@@ -189,11 +258,12 @@ class Labeller:
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1
         self.p["o"], self.p["ob"] = rng.normal(0, 0.1, (2 * HIDDEN, 1)).astype(np.float32), np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        """Hidden states; x is (blocks, pages, width), mask (blocks, pages, 1)."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """Hidden states, and the last state; x is (blocks, pages, width), mask (blocks, pages, 1)."""
         steps, n, _ = x.shape
         pre = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
-        h, c, out = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), np.zeros((steps, n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
+        out = np.zeros((steps, n, HIDDEN), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = pre[t] + h @ self.p[f"h{d}"]
             gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
@@ -206,10 +276,10 @@ class Labeller:
             m = mask[t]
             c, h = m * new + (1 - m) * c, m * (o * tanh) + (1 - m) * h
             out[t] = h
-        return out
+        return out, (h, c)
 
     def forward(self, x: np.ndarray, mask: np.ndarray, kept: dict | None = None) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, d, kept.setdefault(d, []) if kept is not None else None) for d in "fb"], 2)
+        both = np.concatenate([self._run(x, mask, d, kept.setdefault(d, []) if kept is not None else None)[0] for d in "fb"], 2)
         if kept is not None:
             kept["both"] = both
         return 1 / (1 + np.exp(-(both @ self.p["o"] + self.p["ob"])))[..., 0]
@@ -256,17 +326,36 @@ class Labeller:
                     self.p[k] -= (rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def label(self, pages: list[np.ndarray], batch: int = 64) -> list[np.ndarray]:
-        """Probability of article text for each block of each page."""
+    def label(self, pages: list[list], cells: int = 1 << 14) -> list[np.ndarray]:
+        """Probability of article text for each block of each page (as of blocks()).
+
+        Pages of like length go together, padded to at most ``cells`` blocks; a longer
+        page goes alone, its vectors made piece by piece.
+        """
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for a in range(0, len(order), batch):
-            group = order[a : a + batch]
-            p = self.forward(*padded([pages[i] for i in group]))
+        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: -len(pages[i]))
+        while order:
+            longest = len(pages[order[0]])
+            if longest > cells:
+                out[order[0]], order = self._long(pages[order[0]], cells), order[1:]
+                continue
+            group, order = order[: max(1, cells // longest)], order[max(1, cells // longest) :]
+            p = self.forward(*padded([vectors(pages[i]) for i in group]))
             for j, i in enumerate(group):
                 out[i] = p[: len(pages[i]), j]
         return out
 
+    def _long(self, page: list, cells: int) -> np.ndarray:
+        z = np.zeros(len(page), np.float32)
+        for k, d in enumerate("fb"):
+            state = np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)
+            starts = range(0, len(page), cells)
+            for first in starts if d == "f" else reversed(starts):
+                x = vectors(page, first, first + cells)[:, None, :]
+                hidden, state = self._run(x, np.ones((len(x), 1, 1), np.float32), d, None, state)
+                z[first : first + cells] += (hidden[:, 0] @ self.p["o"][k * HIDDEN : (k + 1) * HIDDEN])[:, 0]
+        return 1 / (1 + np.exp(-(z + self.p["ob"][0])))
+
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
@@ -435,9 +524,9 @@ def extract_text(pages: DataFrame, labeller: Labeller | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for batch in slices(batches, "html", 4 << 20):
+        for batch in slices(batches, "html", 1 << 20):
             found = [blocks(h or "") for h in batch.column("html").to_pylist()]
-            labels = model.label([vectors(page) for page in found])
+            labels = model.label(found)
             kept = [[text for (_, text, _), p in zip(page, ps, strict=True) if p > 0.5] for page, ps in zip(found, labels, strict=True)]
             texts = ["\n\n".join(x) for x in kept]
             yield pa.RecordBatch.from_arrays(
