@@ -13,7 +13,6 @@ truncation without encoding anything again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import KeyTable, filled, ramp, raw_text, slices, span_hashes
+from tidemark.llm._shared import KeyTable, filled, model_of, ramp, raw_text, slices, span_hashes
 
 SPACE = "▁"
+#: Prefixes up to this length are looked up.
+KEPT_CHARS = 32
 
 
 class PrefixCounter:
@@ -79,7 +80,8 @@ class PrefixCounter:
         if len(done) > 2 * self.limit:
             done.clear()
         for end in range(1, len(unit) + 1):
-            if (found := done.get(head := unit[:end])) is None:
+            head = unit[:end] if end <= KEPT_CHARS else None  # longer prefixes aren't kept: looking them up would take the square of the unit's length
+            if (found := done.get(head)) is None:
                 if unit[end - 1] not in scores:  # its bytes are tokens, and nothing joins them
                     found = "", count[-1] + len(unit[end - 1].encode("utf-8", "surrogatepass"))
                 else:
@@ -88,8 +90,8 @@ class PrefixCounter:
                             found = piece, count[start] + 1
                             break
                     else:
-                        raise ValueError(f"no piece of the model ends {head!r}")
-                if end <= 32:
+                        raise ValueError(f"no piece of the model ends {unit[max(0, end - 32) : end]!r}")
+                if head is not None:
                     done[head] = found
             last.append(found[0])
             count.append(found[1])
@@ -101,6 +103,8 @@ class PrefixCounter:
         begin = np.cumsum(lens) - lens
         flat = np.diff(np.fromiter((x for counts in found for x in counts), np.int64, int(lens.sum())), prepend=0)
         flat[begin[1:]] = [counts[0] for counts in found[1:]]
+        if len(flat) and (flat.min() < -128 or flat.max() > 127):
+            raise OverflowError("counts of neighbouring prefixes differ by more than a byte holds")
         self.known.add(keys)
         self.starts = np.concatenate([self.starts, len(self.flat) + begin])
         self.lens, self.flat = np.concatenate([self.lens, lens.astype(np.int32)]), np.concatenate([self.flat, flat.astype(np.int8)])
@@ -160,16 +164,10 @@ def longest_prefix(deltas: bytes, budget: int) -> int:
 COUNTS = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("n_tokens", "long").add("fits_chars", "long").add("prefix_deltas", "binary")
 
 
-@lru_cache(1)
-def counter_of(path: str) -> PrefixCounter:
-    """One counter per Python worker; what it has learned serves the next tasks."""
-    return PrefixCounter(path)
-
-
 def _counter(path: str, budget: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(path)
-        for batch in slices(batches, "text", 1 << 20):
+        counter = model_of("counter", PrefixCounter, path)
+        for batch in slices(batches, "text", 1 << 20, "counter"):
             texts = filled(batch.column("text"))
             flat, bounds, counts = counter.deltas(texts)
             size = np.diff(raw_text(texts)[1])
