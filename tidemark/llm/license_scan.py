@@ -4,14 +4,17 @@ A text becomes its lower-case words, joined by single spaces.  A notice that occ
 with at most k edits contains one of its k + 1 parts unchanged (pigeonhole): an
 Aho-Corasick automaton finds all parts of all notices in one pass, and the regex
 library's bounded-error matching verifies a window around each hit and gives the span.
+The words that tell one licence from another must stand in the match as they are.
 Phrases (no edits) are searched in the same pass; their single part is the phrase.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,15 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 NOTICES = {
     "released under the mit license": "mit",
     "licensed under the mit license": "mit",
+    "licensed under the isc license": "isc",
+    "licensed under the boost software license": "bsl",
+    "licensed under the eclipse public license": "epl",
+    "licensed under the european union public licence": "eupl",
+    "licensed under the zlib license": "zlib",
+    "licensed under the artistic license": "artistic",
+    "licensed under the sil open font license": "ofl",
+    "common development and distribution license": "cddl",
+    "released into the public domain": "public-domain",
     "licensed under the apache license version": "apache",
     "redistribution and use in source and binary forms": "bsd",
     "licensed under the bsd license": "bsd",
@@ -41,6 +53,8 @@ NOTICES = {
     "all rights are reserved": "reserved",
     "no part of this work may be reproduced": "reserved",
 }
+#: Words of the notices that tell licences apart: edits may not fall in them.
+TELLING = frozenset("mit isc boost eclipse european zlib artistic sil cddl apache bsd gnu lesser affero mozilla nc sa nd attribution public domain".split())
 #: Letters of a notice for each edit that it allows.
 LETTERS_PER_EDIT = 12
 #: ASCII upper-case letters fall to lower case; all ASCII but letters and digits separates words.
@@ -65,6 +79,7 @@ class Scanner:
         self.phrases = PHRASES if phrases is None else phrases
         self.notices = NOTICES if notices is None else notices
         self.edits = {n: len(n) // letters_per_edit for n in self.notices}
+        self.telling = {n: [w for w in n.split() if w in TELLING] for n in self.notices}
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "patterns")}
@@ -93,7 +108,7 @@ class Scanner:
 
     def scan(self, words: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, int, str]]]:
         """Of normalized words: the phrases' places, then the notices' (begin, end, label, edits, notice)."""
-        exact, windows = [], {}
+        exact, windows = [], set()
         for last, (size, owners) in self.automaton.iter(words):
             begin = last + 1 - size
             for owner, at, phrase in owners:
@@ -101,32 +116,20 @@ class Scanner:
                     exact.append((begin + 1, last, self.phrases[owner]))
                 else:
                     edits = self.edits[owner]
-                    windows.setdefault(owner, []).append((max(0, begin - at - edits), begin - at + len(owner) + edits))
+                    windows.add((max(0, begin - at - edits), min(len(words), begin - at + len(owner) + edits), owner))
+        # a window holds one occurrence of its notice: that around its seed
         fuzzy = set()
-        for notice, spans in windows.items():
-            for low, high in _joined(sorted(spans)):
-                # the best match comes first, wherever it stands: what lies before and behind it is searched again
-                open_ = [(low, min(high, len(words)))]
-                while open_:
-                    a, b = open_.pop()
-                    if b - a >= len(notice) - self.edits[notice] and (m := self.patterns[notice].search(words, a, b)):
-                        fuzzy.add((m.start(), m.end(), self.notices[notice], sum(m.fuzzy_counts), notice))
-                        open_ += [(a, m.start()), (m.end(), b)]
-        kept: list = []  # of matches that overlap, those with the fewest edits
+        for low, high, notice in windows:
+            if high - low >= len(notice) - self.edits[notice] and (m := self.patterns[notice].search(words, low, high)):
+                if set(self.telling[notice]) <= set(words[words.rfind(" ", 0, m.start() + 1) + 1 : words.find(" ", m.end() - 1)].split()):
+                    fuzzy.add((m.start(), m.end(), self.notices[notice], sum(m.fuzzy_counts), notice))
+        kept: list = []  # of matches that overlap, those with the fewest edits; of one notice, the first of them
+        most = max((m[1] - m[0] for m in fuzzy), default=0)
         for m in sorted(fuzzy, key=lambda m: (m[3], m)):
-            if not any(k[0] < m[1] and m[0] < k[1] and k[3] < m[3] for k in kept):
-                kept.append(m)
-        return exact, sorted(kept)
-
-
-def _joined(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    low, high = spans[0]
-    for a, b in spans[1:]:
-        if a > high:
-            yield low, high
-            low, high = a, b
-        high = max(high, b)
-    yield low, high
+            near = kept[bisect_left(kept, (m[0] - most,)) : bisect_left(kept, (m[1],))]
+            if not any(m[0] < k[1] and (k[3] < m[3] or k[4] == m[4]) for k in near):
+                insort(kept, m)
+        return exact, kept
 
 
 SPAN = T.StructType().add("first_word", "long").add("last_word", "long").add("label", "string").add("edits", "integer").add("notice", "string")
@@ -141,19 +144,19 @@ def _scan(scanner: Scanner) -> Callable:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(SCAN)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = normalize(text)
                 n = 0 if len(words) == 2 else words.count(" ") - 1
                 exact, fuzzy = scanner.scan(words)
-                at = [words.count(" ", 0, begin) - 1 for begin, _, _ in exact]
+                blanks = np.flatnonzero(np.frombuffer(words.encode("utf-32-le"), "<u4") == 32)
+                word_at = lambda places: (np.searchsorted(blanks, np.array(places, np.int64)) - 1).clip(0).tolist()  # noqa: E731  the word that holds a place, or begins behind the blank there
+                at = word_at([begin for begin, _, _ in exact])
                 base = {label for _, _, label in exact}
                 score = max([1.0 if exact else 0.0, *(1 - edits / len(notice) for *_, edits, notice in fuzzy)])
-                spans = [
-                    {"first_word": max(0, words.count(" ", 0, a + 1) - 1), "last_word": max(0, words.count(" ", 0, b - 1) - 1), "label": label, "edits": edits, "notice": notice}
-                    for a, b, label, edits, notice in fuzzy
-                ]
+                begins, ends = word_at([a + 1 for a, *_ in fuzzy]), word_at([b - 1 for _, b, *_ in fuzzy])
+                spans = [{"first_word": i, "last_word": j, "label": label, "edits": edits, "notice": notice} for i, j, (_, _, label, edits, notice) in zip(begins, ends, fuzzy, strict=True)]
                 rows.append({
                     "doc_id": doc_id, "n_words": n, "n_base": len(at), "first_word": min(at, default=None), "last_word": max(at, default=None),
                     "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | {x[2] for x in fuzzy})), "score": score, "spans": spans,
