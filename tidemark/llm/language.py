@@ -25,6 +25,8 @@ SLOT_BITS = 17
 #: ASCII letters in lower case, other bytes of letters as they are, all else a blank.
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 UNKNOWN = "und"
+#: Cells of the presence matrix that is multiplied at a time.
+BLOCK_CELLS = 4 << 20
 #: Bounds of the fit: texts a language is learned from, and landmarks among them.
 SAMPLE_PER_LANG, LANDMARKS_PER_LANG, RIDGE = 400, 64, 0.1
 
@@ -94,7 +96,9 @@ class LanguageModel:
         return cls(names, columns, (base.T.astype(np.float64) @ (root @ solved)).astype(np.float32), offset - mean @ solved)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        values = self.presence(texts, self.columns, len(self.weights)) @ self.weights + self.bias
+        step = max(1, BLOCK_CELLS // max(1, len(self.weights)))
+        parts = [self.presence(texts[i : i + step], self.columns, len(self.weights)) @ self.weights for i in range(0, len(texts), step)]
+        values = np.concatenate(parts) + self.bias
         best = values.argmax(1)
         return [self.langs[i] for i in best], np.clip((values[np.arange(len(best)), best] + 1) / 2, 0, 1)
 
@@ -116,12 +120,9 @@ def train_language(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, landmarks:
     no shuffle of texts), about twice ``per_lang`` rows reach the driver.
     """
     rows = docs.select("doc_id", "lang", "text").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    share = F.coalesce(*[F.when(F.col("lang") == c, F.lit(2.0 * per_lang / n + 20 / n)) for c, n in counts.items()])
+    counts = rows.groupBy("lang").agg(((2.0 * per_lang + 20) / F.count("*")).alias("share"))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    found = sorted((tuple(r) for r in rows.withColumn("h", drawn).filter(F.col("h") < share).select("h", "lang", "text").collect()))
+    found = sorted((tuple(r) for r in rows.withColumn("h", drawn).join(F.broadcast(counts), "lang").filter("h < share").select("h", "lang", "text").collect()))
     kept: dict[str, list[str]] = {}
     for _, lang, text in found:
         if len(own := kept.setdefault(lang, [])) < per_lang:
