@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import filled, raw_text, shingle_hashes, slices, word_hashes
+from tidemark.llm._shared import filled, materialize, raw_text, shingle_hashes, slices, word_hashes
 
 TILE, COVERED = 4, 0.6
 #: Bytes of benchmark text that one pass broadcasts.
@@ -133,8 +133,8 @@ class Items:
 
     FILTER_BITS = 20
 
-    def __init__(self, ids: list[int], texts: list[str | None], least: int):
-        self.least, self.ids = least, ids
+    def __init__(self, ids: list[int], texts: list[str | None], least: int, parts: int = 1):
+        self.least, self.ids, self.parts = least, ids, parts
         words, firsts = words_of(pa.array([t or "" for t in texts], pa.string()))
         self.words = [words[a:b].tolist() for a, b in zip(firsts, firsts[1:], strict=False)]
         seeds, at = shingle_hashes(words, firsts, least)
@@ -183,7 +183,7 @@ def _shards(benchmark: DataFrame, least: int, limit: int) -> Iterator[Items]:
     parts = max(1, math.ceil(1.2 * size / limit))
     for part in range(parts):
         own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect() if parts > 1 else rows.orderBy("item_id", "text").collect()
-        yield Items([r[0] for r in own], [r[1] for r in own], least)
+        yield Items([r[0] for r in own], [r[1] for r in own], least, parts)
 
 
 TILES = T.ArrayType(T.StructType().add("item_word", "long").add("doc_word", "long").add("n_words", "long"))
@@ -216,6 +216,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED,
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, LEAKS)
+        if items.parts > 1:  # a shard at a time is broadcast
+            found = materialize(found, "leaks")
+            shipped.destroy()
         out = found if out is None else out.union(found)
     return out
 
@@ -235,5 +238,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, covered: float = COVERE
     Cases as in find_leaks; documents without text stay.
     """
     for items in _shards(benchmark, least, shard_bytes):
-        docs = docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(items), covered), docs.schema)
+        shipped = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.mapInArrow(_keeper(shipped, covered), docs.schema)
+        if items.parts > 1:
+            docs = materialize(docs, "clean")
+            shipped.destroy()
     return docs
