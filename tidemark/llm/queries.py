@@ -106,8 +106,10 @@ leveled AS (
            / sum(w) OVER (ORDER BY 3 * source_size / w, rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed),
 water AS (SELECT min_by(level, ratio) AS level FROM leveled WHERE level <= ratio),
-targets AS (
+aimed AS (
   SELECT source, source_size, slope, least(3.0::DOUBLE * source_size, coalesce((SELECT level FROM water), 0) * w)::DOUBLE AS target FROM leveled),
+targets AS (
+  SELECT source, source_size, target, round(slope - coalesce((SELECT sum(target * slope) / nullif(sum(target), 0) FROM aimed), 0), 9) AS slope FROM aimed),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.slope,
          CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
