@@ -15,7 +15,6 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import KeyTable, filled, ramp, raw_text, shared_dir, slices, small_batches, span_hashes, word_spans
+from tidemark.llm._shared import KeyTable, filled, model_of, ramp, raw_text, shared_dir, slices, small_batches, span_hashes, word_spans
 
 MAGIC = b"TMV1"
 HEAD = struct.Struct("<4sIQIQI")  # magic, documents, ids, table entries, data bytes, crc32 of all behind the header
@@ -109,7 +108,7 @@ class WordEncoder:
     MARK = "~"
     BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -180,19 +179,13 @@ class WordEncoder:
         return np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32), counts + 1
 
 
-@lru_cache(1)
-def encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker; what it has learned serves the next tasks."""
-    return WordEncoder(path)
-
-
 def _writer(path: str, end_id: int | None, folder: str, file_ids: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         part, block, rows, count = TaskContext.get().partitionId(), 0, [], 0
-        pending, own = [], encoder(path)
+        pending, own = [], model_of("encoder", WordEncoder, path)
 
         def flush() -> None:
             nonlocal block, pending, count
@@ -203,11 +196,13 @@ def _writer(path: str, end_id: int | None, folder: str, file_ids: int) -> Callab
             draft = f"{name}.{TaskContext.get().taskAttemptId()}"
             with store.open_output_stream(draft) as out:
                 out.write(raw)
+            if store.get_file_info(name).type != fs.FileType.NotFound:  # of an attempt that was lost; not every store moves onto a file
+                store.delete_file(name)
             store.move(draft, name)  # the same rows give the same bytes, so a repeated task replaces its own file
             rows.append((part, block, f"{folder}/{os.path.basename(name)}", len(lens), len(ids)))
             block, pending, count = block + 1, [], 0
 
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 20, "encoder"):
             ids, counts = own.encode(filled(batch.column("text")), end_id)
             pending.append((batch.column("doc_id").to_pylist(), counts, ids))
             count += len(ids)
