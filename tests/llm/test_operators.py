@@ -404,6 +404,27 @@ PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</s
 <section class="comments"><h3>Comments</h3><div class="comment"><b>Joe</b><p>I do not agree with this.</p></div></section><footer>&copy; 2024 My Site</footer></body></html>"""
 
 
+def test_html_broken_tags():
+    """Unclosed quotes leave no markup in the text; elements that are not closed take no article with them."""
+    text = lambda html: [x for _, x, _ in html_extract.blocks(html)]
+    assert text('<p class="x>Hello</p><p class="y">there</p>') == ["Hello", "there"]
+    assert text("<p class='x>Hello") == ["Hello"]
+    assert text('<a title="a > b">one</a> <i data-x="<b>bold</b>">two</i>') == ["one two"]
+    assert text("<p>one<svg><p>two</p>") == ["one", "two"] and text("<div><iframe></div><p>two</p>") == ["two"]
+    assert text("<script src=/js/>var x=1;</script><p>text</p>") == ["text"]
+    assert text("<p>a<svg/>b</p>") == ["ab"] and text("<p>one<!-- two") == ["one"] and text("<p>one <! two") == ["one"]
+    assert text("<p>1 < 2 and a<b</p>")[0].startswith("1 < 2 and a")
+    for name in ("svg", "math", "object", "canvas", "audio", "video", "iframe", "noscript"):
+        assert text(f"<div><p>before</p><{name}></div><p>the article</p>") == ["before", "the article"]
+
+
+def test_html_long_page_is_labelled_like_a_short_one():
+    model = html_extract.trained()
+    page = html_extract.blocks(PAGE * 30)
+    assert np.allclose(model.label([page])[0], model.label([page], cells=50)[0], atol=1e-4)
+    assert sum(map(len, model.label([page[:n] for n in (1, 7, 40, 300)], cells=100))) == 348
+
+
 def test_html_text(spark):
     pages = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>unclosed <b>bold <i"), (None, "u", "<!-- only -->"), (5, "u", "a < b & c"), (1, "u", PAGE)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, text string")
@@ -491,11 +512,74 @@ def test_license_scan(spark):
 
 def test_license_scan_gives_every_occurrence():
     """Worse matches of a notice before and behind a better one, all within one joined window."""
-    texts = ["licensed under the mlt license", "licensed under the mit license", "licensd under the mit lcense"]
+    texts = ["licensed under thee mit license", "licensed under the mit license", "licensd under the mit lcense"]
     _, found = license_scan.Scanner().scan(license_scan.normalize(" ".join(texts)))
     assert [(label, edits) for _, _, label, edits, notice in found if notice == texts[1]] == [("mit", 1), ("mit", 0), ("mit", 2)]
 
 
+def test_license_words_that_tell_apart():
+    """An edit makes no licence of another one's name."""
+    scan = license_scan.Scanner().scan
+    for name, want in {"isc": {"isc"}, "mpl": set(), "bsl": set(), "mlt": set(), "mit": {"mit"}, "bsd": {"bsd"}}.items():
+        for how in ("released", "licensed"):
+            got = {x[2] for x in scan(license_scan.normalize(f"it is {how} under the {name} license now"))[1]}
+            assert got <= want and (how == "released" or got == want)
+
+
+def test_license_scan_against_every_window():
+    """Fuzzy labels against edit distances of all windows of a text."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    r, scanner = random.Random(6), license_scan.Scanner()
+    for _ in range(30):
+        notice = r.choice(list(scanner.notices))
+        text = list(notice)
+        for _ in range(r.randrange(5)):
+            p = r.randrange(len(text))
+            text[p : p + 1] = r.choice([[], ["q"], [text[p], "q"]])
+        words = license_scan.normalize(prose(r.randrange(99), 4) + " " + "".join(text) + " " + prose(r.randrange(99), 4))
+        for other, most in scanner.edits.items():
+            if other != notice and distance(other, notice) > 2 * most:
+                continue
+            best = min(distance(other, words[i : i + n]) for n in range(max(1, len(other) - most), len(other) + most + 1) for i in range(len(words) - n + 1)) if other == notice else None
+            if other == notice:
+                hit = any(x[4] == notice or x[2] == scanner.notices[notice] for x in scanner.scan(words)[1])
+                told = all(f" {w} " in words for w in scanner.telling[notice])
+                assert hit <= (best <= most) or not told or hit
+                assert hit or best > most or not told
+
+
+@pytest.mark.parametrize("what", ["notices", "same letters", "markup"])
+def test_time_grows_with_the_text(what):
+    """Four times the text takes far less than sixteen times the time."""
+    import time
+
+    def run(n):
+        if what == "notices":
+            words = license_scan.normalize("released under the mit license and licensed under the bsd licence " * (n // 64))
+            return lambda: license_scan.Scanner().scan(words)
+        if what == "same letters":
+            counter, text = token_counts.PrefixCounter(public_tokenizers.path("piece_bpe_32k.model")), pa.array(["a" * (n // 2)])
+            return lambda: counter.deltas(text)
+        page = ('<p class="x>Hello <b' + " a='" + "<p a=\" <iframe>") * (n // 40)
+        return lambda: html_extract.blocks(page)
+
+    took = []
+    for n in (1 << 18, 1 << 20):
+        job = run(n)
+        began = time.perf_counter()
+        job()
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
 # -- 10 ----------------------------------------------------------------------------
 
 
