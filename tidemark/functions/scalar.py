@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Hashes to 0 under Spark's seed 42, so hash(SEED0, x) is Murmur3 of x with seed 0.
 SEED0 = -1693959553
+#: Letters with marks, and those that stand for them.
+FOLDED = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 METRICS = ("l2", "cosine", "dot")
 
 
@@ -41,7 +43,7 @@ def tokens(text: Column, lower_case: bool = True, max_token_length: int | None =
     """Tokens of a text in order: runs of letters and digits, or trigrams of them."""
     value = F.lower(text) if lower_case else text
     if ascii_folding:
-        value = F.translate(value, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+        value = F.translate(value, *FOLDED)
     out = F.regexp_extract_all(value, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     if base_tokenizer == "ngram":
         grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))

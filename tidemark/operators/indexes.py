@@ -172,7 +172,22 @@ def box_candidates(table, name: str, x0: float, y0: float, x1: float, y1: float)
     """Address ranges (``a0``, ``a1``) of the pages whose box meets the given box."""
     m = table.manifest()
     data = table.spark.read.parquet(table.store.path(m.indexes[name.lower()]["place"]))
-    return data.filter((F.col("x0") <= x1) & (F.col("x1") >= x0) & (F.col("y0") <= y1) & (F.col("y1") >= y0)).select("a0", "a1")
+    return data.filter((F.col("x0") <= x1) & (F.col("x1") >= x0) & (F.col("y0") <= y1) & (F.col("y1") >= y0)).select("a0", "a1", "fragment", "page")
+
+
+def box_read(table, name: str, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Rows with their column's point in the box, from the pages whose box meets it; fragments that the index doesn't cover are scanned."""
+    m = table.manifest()
+    entry = m.indexes[name.lower()]
+    size, column = int(entry["options"].get("page_size", 4096)), entry["column"]
+    pages = box_candidates(table, name, x0, y0, x1, y1).select("fragment", "page")
+    found = {r[0] for r in pages.select("fragment").distinct().collect()} & set(entry["fragments"])
+    inside = F.col(f"{column}.x").between(x0, x1) & F.col(f"{column}.y").between(y0, y1)
+    at = table._scan(m, {"_rowaddr"}, found)
+    at = at.withColumns({"fragment": F.shiftrightunsigned("_rowaddr", 32), "page": F.floor(F.col("_rowaddr").bitwiseAND(F.lit(0xFFFFFFFF)) / size)})
+    rows = at.join(pages, ["fragment", "page"], "left_semi").filter(inside).select(*m.struct.names)
+    rest = {f["id"] for f in m.fragments} - set(entry["fragments"])
+    return rows.unionByName(table.read(fragments=rest).filter(inside)) if rest else rows
 
 
 def indexed_read(table, name: str, values: list, condition: str, use_scalar_index: bool = True) -> DataFrame:
@@ -183,7 +198,8 @@ def indexed_read(table, name: str, values: list, condition: str, use_scalar_inde
         return table.read(where=condition)
     covered = set(entry["fragments"])
     hits = candidates(table, name, values)
-    rows = table._scan(m, {"_rowaddr"}, covered).join(hits, F.col("_rowaddr") == F.col("rowaddr"), "left_semi").filter(condition).select(*m.struct.names)
+    found = {r[0] for r in hits.select(F.shiftrightunsigned("rowaddr", 32)).distinct().collect()}  # a number per fragment at most
+    rows = table._scan(m, {"_rowaddr"}, covered & found).join(hits, F.col("_rowaddr") == F.col("rowaddr"), "left_semi").filter(condition).select(*m.struct.names)
     rest = {f["id"] for f in m.fragments} - covered
     return rows.unionByName(table.read(where=condition, fragments=rest)) if rest else rows
 

@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import bucket
+from tidemark.sources.table import Table
 
 
-def fragment_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", partitions: int | None = None) -> DataFrame:
-    """Equi-join on row addresses; both sides are dealt by the address's fragment.
+def fragment_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
+    """Equi-join on row addresses, any join type: one exchange per side, none for a side that is small enough to broadcast."""
+    return left.join(right, left[left_key] == right[right_key], how)
 
-    All rows of a fragment land in one task, so a scan side that is already a fragment
-    per task reads each file once.  Any join type.
-    """
-    n = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    deal = lambda df, key: df.repartition(n, F.shiftrightunsigned(F.col(key), 32))
-    a, b = deal(left, left_key), deal(right, right_key)
-    return a.join(b, a[left_key] == b[right_key], how)
 
+def shard_join(left: Table, right: Table, key: str, how: str = "inner") -> DataFrame:
+    """Join on ``key`` of two tables sharded by it in the same way: shard by shard, as they lie, without an exchange.
 
-def bucket_join(left: DataFrame, right: DataFrame, key: str, buckets: int, how: str = "inner") -> DataFrame:
-    """Join of two tables that are sharded by the same bucket(n, key): one exchange per side, on the bucket and key."""
-    mark = lambda df: df.withColumn("__bucket", bucket(buckets, F.col(key)))
-    return mark(left).join(mark(right), ["__bucket", key], how).drop("__bucket")
+    A shard is one task, so buckets should be as many as the join's tasks.
+    """
+    a, b = left.manifest(), right.manifest()
+    if not a.sharding or a.sharding != b.sharding or a.sharding[-1] != key:
+        raise ValueError("both tables must be sharded by the key in the same way")
+    of = lambda m, shard: {f["id"] for f in m.fragments if f.get("shard") == shard}
+    out = None
+    for shard in sorted({f.get("shard") for m in (a, b) for f in m.fragments}, key=str):
+        ids = of(a, shard), of(b, shard)
+        if not (ids[0] and ids[1]) and how == "inner":
+            continue
+        sides = [t.read(version=m.version, fragments=x).coalesce(1) for t, m, x in zip((left, right), (a, b), ids, strict=True)]
+        part = sides[0].join(sides[1], key, how)
+        out = part if out is None else out.union(part)
+    return out if out is not None else left.read(version=a.version).join(right.read(version=b.version), key, how)
 
 
 def sized_broadcast(df: DataFrame, table_bytes: int, limit: int = 32 << 20) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import METRICS, distance, tokens
+from tidemark.functions.scalar import FOLDED, METRICS, distance, tokens
 
 K1, B = 1.2, 0.75
 
@@ -98,10 +98,19 @@ def parse_options(text: str | None) -> dict:
 
 def query_tokens(query: str, **analysis) -> list[str]:
     """Distinct tokens of a query text, split as texts are."""
+    return list(dict.fromkeys(_query_words(query, **analysis)))
+
+
+def _query_words(query: str, **analysis) -> list[str]:
     import re
 
     text = query.lower() if analysis.get("lower_case", True) else query
-    return list(dict.fromkeys(w for w in re.findall(r"[^\W_]+", text) if len(w) <= (analysis.get("max_token_length") or 1 << 30)))
+    if analysis.get("ascii_folding"):
+        text = text.translate(str.maketrans(*FOLDED))
+    words = re.findall(r"[^\W_]+", text)
+    if analysis.get("base_tokenizer") == "ngram":
+        words = [w[i : i + 3] for w in words for i in range(len(w) - 2)]
+    return [w for w in words if len(w) <= (analysis.get("max_token_length") or 1 << 30)]
 
 
 def _term_test(words: Column, term: str, options: dict) -> Column:
@@ -142,9 +151,7 @@ def match_phrase(column: str, query: str, slop: int = 0, **analysis) -> Column:
     """Whether the query's tokens follow each other, with at most ``slop`` extra places before each."""
     if slop < 0:
         raise ValueError("slop must not be negative")
-    import re
-
-    terms = re.findall(r"[^\W_]+", query.lower())
+    terms = _query_words(query, **(analysis | {"max_token_length": None}))
     if not terms:
         return F.lit(False)
     words = tokens(F.col(column), **(analysis | {"max_token_length": None}))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -14,7 +14,7 @@ FUNCTIONS = ("bucket", "fragment_or_rand", "match", "match_phrase", "multi_match
 
 
 class Catalog:
-    """The registry is a JSON file per namespace; a table is a folder anywhere."""
+    """The registry is a row of numbered JSON files per namespace, of which the last counts; a table is a folder anywhere."""
 
     def __init__(self, spark: SparkSession, warehouse: str, default: str = "default"):
         self.spark, self.warehouse, self.default = spark, warehouse.rstrip("/"), default
@@ -22,23 +22,23 @@ class Catalog:
         if not self.namespace_exists(default):
             self.create_namespace(default)
 
-    def _file(self, namespace: str) -> str:
-        return f"{namespace}/_namespace.json"
+    def _folder(self, namespace: str) -> str:
+        return f"{namespace}/_namespace"
 
     def _load(self, namespace: str) -> dict:
         if not self.namespace_exists(namespace):
             raise ValueError(f"no namespace {namespace}")
-        return json.loads(self.store.read(self._file(namespace)))
+        return self.store.state(self._folder(namespace), {})[1]
 
-    def _save(self, namespace: str, entry: dict) -> None:
-        self.store.write(self._file(namespace), json.dumps(entry))
+    def _change(self, namespace: str, how: Callable[[dict], None]) -> None:
+        self.store.change(self._folder(namespace), {"properties": {}, "tables": {}}, how)
 
     def create_namespace(self, name: str, properties: dict | None = None, exist_ok: bool = False) -> None:
         if self.namespace_exists(name):
             if not exist_ok:
                 raise ValueError(f"namespace {name} exists")
             return
-        self._save(name, {"properties": properties or {}, "tables": {}})
+        self._change(name, lambda entry: entry["properties"].update(properties or {}))
 
     def drop_namespace(self, name: str, cascade: bool = False) -> None:
         if self._load(name)["tables"] and not cascade:
@@ -48,7 +48,7 @@ class Catalog:
         self.store.delete(name)
 
     def namespace_exists(self, name: str) -> bool:
-        return self.store.exists(self._file(name))
+        return self.store.exists(self._folder(name))
 
     def list_namespaces(self) -> list[str]:
         found = self.store.fs.listStatus(self.store._path(""))
@@ -88,11 +88,14 @@ class Catalog:
 
     def _register(self, name: str, path: str) -> None:
         namespace, table = self._split(name)
-        entry = self._load(namespace)
-        if table in entry["tables"]:
-            raise ValueError(f"table {name} exists")
-        entry["tables"][table] = path
-        self._save(namespace, entry)
+        self._load(namespace)
+
+        def add(entry: dict) -> None:
+            if table in entry["tables"]:
+                raise ValueError(f"table {name} exists")
+            entry["tables"][table] = path
+
+        self._change(namespace, add)
 
     def _place(self, name: str, location: str | None) -> str:
         namespace, table = self._split(name)
@@ -122,9 +125,7 @@ class Catalog:
 
     def _forget(self, name: str) -> None:
         namespace, table = self._split(name)
-        entry = self._load(namespace)
-        entry["tables"].pop(table, None)
-        self._save(namespace, entry)
+        self._change(namespace, lambda entry: entry["tables"].pop(table, None))
 
     def drop_table(self, name: str, purge: bool = False) -> None:
         """Forgets the table; with ``purge`` (and for a path) its files go too."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import SparkSession
 
 
@@ -32,17 +36,53 @@ class Store:
             stream.close()
 
     def write(self, name: str, text: str, new: bool = False) -> None:
-        """``new``: fails if the file is there (on stores whose create is exclusive, as HDFS and local files)."""
+        """Readers see the whole file or none.  ``new``: fails if the file is there.
+
+        The text is written aside and takes its name at once: by a hard link on local
+        files, by a rename that doesn't replace elsewhere (exclusive on HDFS).
+        """
         if new and self.exists(name):
             raise Conflict(name)
+        aside = f"{name}.{uuid.uuid4().hex}.tmp"
+        out = self.fs.create(self._path(aside), True)
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        hadoop = self.jvm.org.apache.hadoop.fs
+        qualified = self.fs.makeQualified(self._path(name))
         try:
-            out = self.fs.create(self._path(name), not new)
+            if new and qualified.toUri().getScheme() == "file":
+                local = lambda n: self.jvm.java.io.File(self.fs.makeQualified(self._path(n)).toUri().getPath()).toPath()
+                self.jvm.java.nio.file.Files.createLink(local(name), local(aside))
+            else:
+                option = self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+                kinds = self.jvm.java.lang.reflect.Array.newInstance(option, 1)
+                kinds[0] = option.getEnumConstants()[0 if new else 1]  # NONE, OVERWRITE
+                hadoop.FileContext.getFileContext(qualified.toUri(), self.conf).rename(self.fs.makeQualified(self._path(aside)), qualified, kinds)
         except Exception as e:
             if new and "Exists" in str(e):
                 raise Conflict(name) from e
             raise
-        out.write(bytearray(text, "utf-8"))
-        out.close()
+        finally:
+            if self.exists(aside):
+                self.fs.delete(self._path(aside), False)
+
+    def state(self, folder: str, empty: dict) -> tuple[int, dict]:
+        """The latest of a folder's numbered states."""
+        known = sorted(int(n[:-5]) for n in self.list(folder) if n.endswith(".json"))
+        return (known[-1], json.loads(self.read(f"{folder}/{known[-1]:08d}.json"))) if known else (0, empty)
+
+    def change(self, folder: str, empty: dict, how: Callable[[dict], None]) -> dict:
+        """Apply a change to a numbered state; if another writer was first, to what that one left."""
+        while True:
+            n, found = self.state(folder, json.loads(json.dumps(empty)))
+            how(found)
+            try:
+                self.write(f"{folder}/{n + 1:08d}.json", json.dumps(found), new=True)
+            except Conflict:
+                continue
+            if n > 10:
+                self.delete(f"{folder}/{n - 10:08d}.json")
+            return found
 
     def list(self, name: str) -> dict[str, int]:
         """Names and sizes of the files of a folder."""
@@ -60,6 +100,10 @@ class Store:
             out[x.getPath().toString().removeprefix(base).lstrip("/")] = x.getLen()
         return out
 
+    def age(self, name: str) -> float:
+        """Seconds since a file was written."""
+        return (self.jvm.java.lang.System.currentTimeMillis() - self.fs.getFileStatus(self._path(name)).getModificationTime()) / 1000
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 

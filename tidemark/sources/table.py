@@ -1,7 +1,7 @@
 """Versioned tables: Parquet fragments chosen by a manifest.
 
     <table>/_versions/00000001.json    schema, properties, fragments, indexes, sharding, key
-    <table>/_refs.json                 branches and tags
+    <table>/_refs/00000001.json        branches and tags; the last counts
     <table>/data/<commit>/*.parquet    a fragment per file
     <table>/deletes/<commit>           addresses of deleted rows
     <table>/index/<name>/<commit>      index data
@@ -30,6 +30,8 @@ STORED = T.StructType().add("__rowid", "long").add("__created", "long").add("__u
 #: Deleted addresses and fragment lists up to this many rows are broadcast.
 BROADCAST_ROWS = 1_000_000
 MAX_ROWS_PER_FILE = 1_000_000
+#: Days after which a file that no version names is taken for the rest of a failed write.
+UNVERIFIED_DAYS = 7
 
 
 @dataclass
@@ -364,7 +366,7 @@ class Table:
         if not lost:
             return base
         changed = {c: (F.expr(v) if isinstance(v, str) else v).cast(base.struct[c].dataType) for c, v in values.items()}
-        new = rows.select(*[changed.get(c, F.col(c)).alias(c) for c in names], F.col("_rowid").alias("__rowid"), F.col("_row_created_at_version").alias("__created"), F.lit(base.version + 1).cast("long").alias("__updated"))
+        new = rows.select(*[changed.get(c, F.col(c)).alias(c) for c in names], F.col("_rowid").alias("__rowid"), F.col("_row_created_at_version").alias("__created"), F.lit(None).cast("long").alias("__updated"))  # the version that the commit gets, whatever comes before it
         new = new if self.stable_ids else new.withColumn("__rowid", F.lit(None).cast("long"))
         return self._commit_rows(base, "update", self._write(new, base, stored=True), lost, place, set(lost))
 
@@ -377,6 +379,16 @@ class Table:
         """
         base = self.manifest()
         names = base.struct.names
+        # the source is read several times: it is written once, so that all reads see the same rows
+        staged = f"staging/{uuid.uuid4().hex}"
+        source.write.parquet(self.store.path(staged))
+        source = self.spark.read.schema(source.schema).parquet(self.store.path(staged))
+        try:
+            return self._merge(base, names, source, on, matched, not_matched)
+        finally:
+            self.store.delete(staged)
+
+    def _merge(self, base: Manifest, names: list[str], source: DataFrame, on: str, matched: list, not_matched: list) -> Manifest:
         target = self._scan(base, {"_rowaddr"}).alias("t")
         joined = source.withColumn("__there", F.lit(True)).alias("s").join(target, F.expr(on), "left")
         hit = F.col("t._rowaddr").isNotNull()
@@ -413,6 +425,8 @@ class Table:
         if missing := {"_rowaddr", "_fragid"} - set(view.columns):
             raise ValueError(f"the view needs {sorted(missing)}")
         names = base.struct.names
+        if view.filter("_rowaddr is not null").groupBy("_rowaddr").count().filter("count > 1").limit(1).count():
+            raise ValueError("a row address stands in the view more than once")
         own = view.select(F.col("_rowaddr").alias("__addr"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__new_{c}") for c in columns])
         rows = self._scan(base, set(HIDDEN))
         joined = rows.join(own, rows["_rowaddr"] == own["__addr"], "left")
@@ -472,43 +486,66 @@ class Table:
         rows = sum(f["rows"] - f["deleted"] for f in picked.values())
         df = self._scan(base, set(HIDDEN), set(picked))
         keep = [F.col("_rowid").alias("__rowid") if self.stable_ids else F.lit(None).cast("long").alias("__rowid"), F.col("_row_created_at_version").alias("__created"), F.col("_row_last_updated_at_version").alias("__updated")]
-        df = df.select(*base.struct.names, *keep).repartition(max(1, -(-rows // target_rows_per_fragment)))
-        added = [dict(f, id=base.next_fragment + i, created=base.version + 1) for i, f in enumerate(self._write(df, replace(base, sharding=None), stored=True, max_row_per_file=target_rows_per_fragment))]
+        df = df.select(*base.struct.names, *keep)
+        df = df if base.sharding else df.repartition(max(1, -(-rows // target_rows_per_fragment)))
+        added = [dict(f, id=base.next_fragment + i, created=base.version + 1) for i, f in enumerate(self._write(df, base, stored=True, max_row_per_file=target_rows_per_fragment))]
         rest = [f for f in base.fragments if f["id"] not in picked]
         files = sum(f["deleted"] > 0 for f in picked.values())
-        self._commit(base, "optimize", fragments=rest + added, deletes=base.deletes if any(f["deleted"] for f in rest) else [], next_fragment=base.next_fragment + len(added), indexes={})
+        # indexes go on covering the other fragments; the new ones are scanned
+        indexes = {k: dict(v, fragments=[f for f in v["fragments"] if f not in picked]) for k, v in base.indexes.items()}
+        self._commit(base, "optimize", fragments=rest + added, deletes=base.deletes if any(f["deleted"] for f in rest) else [], next_fragment=base.next_fragment + len(added), indexes=indexes)
         return {"fragments_removed": len(picked), "fragments_added": len(added), "files_removed": len(picked) + files, "files_added": len(added)}
 
     def vacuum(self, before_version: int | None = None, before_timestamp_millis: int | None = None, delete_unverified: bool = False, error_if_tagged_old_versions: bool = True) -> dict[str, int]:
-        """Delete old versions, and files that no version, branch or tag needs."""
+        """Delete old versions, and the files that only they needed.
+
+        Files that no version ever named may belong to a commit that is still being
+        written: they go only with ``delete_unverified``, or when they are UNVERIFIED_DAYS old.
+        """
         known = self.versions()
         old = [v for v in known[:-1] if (before_version is None or v < before_version) and (before_timestamp_millis is None or self.manifest(v).timestamp * 1000 < before_timestamp_millis)]
         tagged = {t["version"] for t in self.refs()["tags"].values()}
         if error_if_tagged_old_versions and tagged & set(old):
             raise ValueError(f"tagged versions: {sorted(tagged & set(old))}")
         old = [v for v in old if v not in tagged]
+        named = self._named(old)
         freed = 0
         for v in old:
             name = f"{self._folder}/{v:08d}.json"
             freed += self.store.list(self._folder)[f"{v:08d}.json"]
             self.store.delete(name)
-        used: set[str] = set()
-        owners = [self, *(Table(self.spark, self.path, b) for b in self.refs()["branches"])]
-        for t in owners:
-            for v in t.versions():
-                m = t.manifest(v)
-                used |= {f["file"] for f in m.fragments} | set(m.deletes) | {i["place"] for i in m.indexes.values() if i.get("place")}
+        owners = [Table(self.spark, self.path), *(Table(self.spark, self.path, b) for b in self.refs()["branches"])]
+        used = set().union(*(t._named(t.versions()) for t in owners))
+        within = lambda name, places: name in places or any("/".join(name.split("/")[:i]) in places for i in range(1, name.count("/") + 1))
         for top in ("data", "deletes", "index"):
             for name, size in self.store.walk(top).items():
-                if name not in used and not any(name.startswith(f"{u}/") for u in used):
+                if not within(name, used) and (delete_unverified or within(name, named) or self.store.age(name) > UNVERIFIED_DAYS * 86400):
                     freed += size
                     self.store.delete(name)
         return {"bytes_removed": freed, "old_versions": len(old)}
 
+    def _named(self, versions: list[int]) -> set[str]:
+        """Files and folders that these versions name."""
+        out: set[str] = set()
+        for m in map(self.manifest, versions):
+            out |= {f["file"] for f in m.fragments} | set(m.deletes) | {i["place"] for i in m.indexes.values() if i.get("place")}
+        return out
+
     # -- branches and tags --------------------------------------------------------
 
     def refs(self) -> dict:
-        return json.loads(self.store.read("_refs.json")) if self.store.exists("_refs.json") else {"branches": {}, "tags": {}}
+        return self.store.state("_refs", {"branches": {}, "tags": {}})[1]
+
+    def _change_refs(self, kind: str, name: str, entry: dict | None) -> None:
+        """Add a branch or tag that isn't there, or take one out."""
+
+        def how(refs: dict) -> None:
+            if entry is None:
+                refs[kind].pop(name, None)
+            elif refs[kind].setdefault(name, entry) is not entry:
+                raise ValueError(f"{name} exists")
+
+        self.store.change("_refs", {"branches": {}, "tags": {}}, how)
 
     def _resolve(self, version: int | None, branch: str | None, tag: str | None) -> tuple[str | None, int]:
         refs = self.refs()
@@ -530,8 +567,7 @@ class Table:
         text = json.dumps(Table(self.spark, self.path, parent).manifest(at).__dict__)
         made = Table(self.spark, self.path, name)
         made.store.write(f"{made._folder}/{at:08d}.json", text, new=True)
-        refs["branches"][name] = {"parent_branch": parent, "parent_version": at, "created_at": int(time.time()), "manifest_size": len(text)}
-        self.store.write("_refs.json", json.dumps(refs))
+        self._change_refs("branches", name, {"parent_branch": parent, "parent_version": at, "created_at": int(time.time()), "manifest_size": len(text)})
         return made
 
     def create_tag(self, name: str, version: int | None = None, branch: str | None = None, tag: str | None = None, exist_ok: bool = False) -> None:
@@ -542,18 +578,17 @@ class Table:
             return
         owner, at = self._resolve(version, branch, tag)
         now, size = int(time.time()), len(json.dumps(Table(self.spark, self.path, owner).manifest(at).__dict__))
-        refs["tags"][name] = {"branch": owner, "version": at, "created_at": now, "updated_at": now, "manifest_size": size}
-        self.store.write("_refs.json", json.dumps(refs))
+        self._change_refs("tags", name, {"branch": owner, "version": at, "created_at": now, "updated_at": now, "manifest_size": size})
 
     def drop_ref(self, kind: str, name: str, missing_ok: bool = False) -> None:
         refs = self.refs()
-        if refs[kind].pop(name, None) is None:
+        if name not in refs[kind]:
             if missing_ok:
                 return
             raise ValueError(f"no {kind[:-1]} {name}")
         if kind == "branches":
             self.store.delete(f"_branches/{name}")
-        self.store.write("_refs.json", json.dumps(refs))
+        self._change_refs(kind, name, None)
 
     def show_branches(self) -> DataFrame:
         rows = [(k, v["parent_branch"], v["parent_version"], v["created_at"], v["manifest_size"]) for k, v in sorted(self.refs()["branches"].items())]
