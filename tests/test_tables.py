@@ -312,3 +312,119 @@ def test_fts_refuses_what_it_does_not_do(spark, tmp_path):
         with pytest.raises(ValueError, match=option):
             indexes.create_index(t, "f", "fts", ["body"], **{option: "true"})
     indexes.create_index(t, "f", "fts", ["body"], stem="false", with_position=True)
+
+
+# -- conditions by type, commits that meet, files that are being written
+
+
+def test_zones_of_every_type(spark):
+    """A pruned read equals a plain one, for every type, operator and kind of literal."""
+    df = spark.sql("""
+        SELECT cast(id AS int) i, id l, cast(id AS decimal(10,2)) - 50 d, if(id = 55, double('NaN'), id - 50.5D) f, date_add(date'2020-01-01', cast(id AS int)) day,
+               timestamp_seconds(1577836800 + id * 3600) ts, concat('k', lpad(string(id), 3, '0')) s, cast(id % 2 = 0 AS boolean) b, nullif(id, 7) n FROM range(200)""")
+    t = Table.create_as(spark, scratch(spark, "zones"), df.repartitionByRange(8, "l").sortWithinPartitions("l"))
+    for c in df.columns:
+        indexes.create_index(t, f"z_{c}", "zonemap", [c], rows_per_zone=10)
+    cases = ["d = 50.00", "d = 9", "d < -40.5", "d > 1e2", "f = 50", "f > 100", "f = double('NaN')", "f >= -3.5", "i = '12'", "i = 12.0", "i > 180.5", "l BETWEEN 20 AND 30.5", "day = DATE '2020-02-01'",
+             "day < '2020-01-10'", "day = '2020-2-1'", "ts >= TIMESTAMP '2020-01-08 00:00:00'", "ts = '2020-01-02 03:00:00'", "s = 'k050'", "s > 'k19'", "b = true", "n IS NULL", "n = 7", "d IN (1, 2.5, 149)", "-3 = d", "NOT i = 3", "d = null"]
+    for where in cases:
+        plain = sorted(r[0] for r in df.filter(where).select("l").collect())
+        assert sorted(r[0] for r in t.read(where=where).select("l").collect()) == plain, where
+    kept = lambda where: t.scan_report(where)["scanned_fragments"]
+    assert all(kept(w) < 8 for w in ("d = 50.00", "f = 50", "day = DATE '2020-02-01'", "ts >= TIMESTAMP '2020-01-08 00:00:00'", "day < '2020-01-10'", "s > 'k19'"))
+
+
+def test_changes_after_a_rebase(spark, people, monkeypatch):
+    """An update that another commit overtakes counts from the version that it got."""
+    write = Table._write
+
+    def overtaken(self, df, m, **options):
+        out = write(self, df, m, **options)
+        monkeypatch.setattr(Table, "_write", write)
+        Table(spark, people.path).append(spark.createDataFrame([(9, "Zoe", 9)], people.schema))
+        return out
+
+    monkeypatch.setattr(Table, "_write", overtaken)
+    people.update({"value": "value + 1"})
+    assert people.versions() == [1, 2, 3, 4]
+    assert values(people.changes(since=3), "id", "change") == [(1, "update"), (2, "update"), (3, "update")]
+    assert values(people.changes(since=2), "id", "change") == [(1, "update"), (2, "update"), (3, "update"), (9, "insert")]
+
+
+def test_backfill_refuses_repeated_addresses(spark, people):
+    rows = people.read(hidden=("_rowaddr", "_fragid")).select("_rowaddr", "_fragid", F.lit(1).alias("extra"))
+    with pytest.raises(ValueError):
+        people.add_columns_from(rows.union(rows.limit(1)))
+    assert people.count() == people.read().count() == 3
+
+
+def test_vacuum_keeps_what_is_being_written(spark, people):
+    people.update({"value": "0"}, "id = 1")
+    added = people._write(spark.createDataFrame([(7, "New", 7)], people.schema), people.manifest())
+    assert people.vacuum(before_version=4)["old_versions"] == 2
+    people._commit_rows(people.manifest(), "append", added)
+    assert values(people.read(), "id") == [(1,), (2,), (3,), (7,)]
+    left = people._write(spark.createDataFrame([(8, "Lost", 8)], people.schema), people.manifest())
+    people.vacuum(delete_unverified=True)
+    assert not people.store.exists(left[0]["file"]) and people.read().count() == 4
+
+
+def test_optimize_keeps_indexes_and_shards(spark):
+    df = spark.range(100).select(F.col("id").alias("x"), (F.col("id") % 10).alias("y"))
+    t = Table.create_as(spark, scratch(spark, "shards"), df, sharding=["bucket", 4, "x"])
+    t.append(df)
+    indexes.create_index(t, "i", "btree", ["y"])
+    t.optimize(target_rows_per_fragment=1000)
+    m = t.manifest()
+    assert m.indexes["i"]["fragments"] == [] and {f["shard"] for f in m.fragments} <= {"0", "1", "2", "3"}
+    assert indexes.indexed_read(t, "i", [3], "y = 3").count() == 20
+
+
+def test_store_writes_once(spark):
+    t = Table.create(spark, scratch(spark, "once"), T.StructType().add("x", "long"))
+    t.store.write("a/1.json", "one", new=True)
+    with pytest.raises(Conflict):
+        t.store.write("a/1.json", "two", new=True)
+    t.store.write("a/1.json", "three")
+    assert t.store.read("a/1.json") == "three" and list(t.store.list("a")) == ["1.json"]
+
+
+def test_shard_join_has_no_exchange(spark):
+    df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    a, b = (Table.create_as(spark, scratch(spark, "spj"), d, sharding=["bucket", 4, "k"]) for d in (df, df.filter("k % 3 = 0").withColumnRenamed("v", "w")))
+    from tidemark.operators.joins import shard_join
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = shard_join(a, b, "k")
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert values(out, "k", "v", "w") == [(i, 2 * i, 2 * i) for i in range(0, 200, 3)]
+        assert shard_join(a, b, "k", "left").count() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_match_folds_the_query_as_the_text(spark):
+    df = spark.createDataFrame([("Café au lait",), ("cafe",), ("coffee",)], "t string")
+    assert df.filter(search.match("t", "café", ascii_folding=True)).count() == 2
+    assert df.filter(search.match_phrase("t", "CAFÉ AU", ascii_folding=True)).count() == 1
+
+
+def test_dialect_strings_commas_and_merge(spark):
+    sql = Dialect(spark, Catalog(spark, scratch(spark, "merge"))).run
+    sql("CREATE TABLE a AS SELECT id, concat('n', id) AS n FROM range(5)")
+    sql("CREATE TABLE b AS SELECT id AS bid, id * 10 AS w FROM range(3, 8)")
+    sql("UPDATE a SET n = 'u, WHERE v' WHERE id = 1 -- a comment, FROM b")
+    assert sql("SELECT n FROM a WHERE id = 1").first()[0] == "u, WHERE v"
+    assert sql("SELECT 'FROM a, b' AS x, count(*) AS c FROM a, b x WHERE a.id = x.bid").first() == ("FROM a, b", 2)
+    assert sql("SELECT count(*) AS c FROM a JOIN (SELECT bid FROM b WHERE w > 30) q ON q.bid = a.id, b WHERE b.bid = 7").first()[0] == 1
+    assert sql("WITH q AS (SELECT * FROM a) SELECT q.id FROM q WHERE EXISTS (SELECT 1 FROM b WHERE b.bid = q.id) ORDER BY 1").collect() == [(3,), (4,)]
+    plan = sql("SELECT count(*) FROM a")._jdf.queryExecution().toString()
+    assert sql("SELECT count(*) AS c FROM a").first()[0] == 5 and "parquet" not in plan.lower()
+    sql("MERGE INTO a AS x USING (SELECT bid, w FROM b) y ON x.id = y.bid WHEN MATCHED AND y.w = 30 THEN DELETE WHEN MATCHED THEN UPDATE SET n = concat('it''s ', x.n, ',', y.w) WHEN NOT MATCHED AND y.bid > 5 THEN INSERT (id, n) VALUES (y.bid, 'new')")
+    assert values(sql("SELECT * FROM a"), "id", "n") == [(0, "n0"), (1, "u, WHERE v"), (2, "n2"), (4, "it's n4,40"), (6, "new"), (7, "new")]
+    sql("MERGE INTO a USING a2 ON a.id = a2.id WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *") if sql("CREATE TABLE a2 AS SELECT 0L AS id, 'z' AS n") else None
+    assert values(sql("SELECT * FROM a WHERE id = 0"), "n") == [("z",)]
+    with pytest.raises(ValueError):
+        sql("MERGE INTO a USING a2 ON a.id = a2.id WHEN NOT MATCHED BY SOURCE THEN DELETE")
+    assert sql("SELECT id FROM a VERSION AS OF 1 AS o WHERE o.id < 2 ORDER BY id").collect() == [(0,), (1,)]
