@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import bucket
 from tidemark.operators import indexes, search
-from tidemark.operators.joins import bucket_join, fragment_join
+from tidemark.operators.joins import fragment_join, shard_join
 from tidemark.plans.dialect import Dialect
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.scratch import scratch
@@ -53,24 +53,8 @@ def tpch_q1(spark, t):
     return spark.sql(Q1, lineitem=_table(spark, t("lineitem")).read())
 
 
-@_register("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey <= 500")
-def time_travel_version(spark, t):
-    table = _table(spark, t("customer").filter("c_custkey <= 500"))
-    table.append(t("customer").filter("c_custkey > 500"))
-    table.delete("c_acctbal < 0")
-    return table.read(version=1).select("c_custkey", "c_acctbal")
-
-
-@_register("SELECT c_custkey FROM customer WHERE c_custkey <= 900")
-def time_travel_timestamp(spark, t):
-    table = _table(spark, t("customer").filter("c_custkey <= 500"))
-    m = table.append(t("customer").filter("c_custkey > 500 and c_custkey <= 900"))
-    table.append(t("customer").filter("c_custkey > 900"))
-    return table.read(timestamp=m.timestamp).select("c_custkey")
-
-
 @_register("SELECT c_custkey, c_acctbal FROM customer")
-def time_travel_version_whole(spark, t):
+def time_travel_version(spark, t):
     table = _table(spark, t("customer").filter("c_custkey % 2 = 0"))
     m = table.append(t("customer").filter("c_custkey % 2 <> 0"))
     table.delete("c_acctbal < 0")
@@ -78,7 +62,7 @@ def time_travel_version_whole(spark, t):
 
 
 @_register("SELECT c_custkey, c_acctbal FROM customer")
-def time_travel_timestamp_whole(spark, t):
+def time_travel_timestamp(spark, t):
     table = _table(spark, t("customer").filter("c_custkey % 2 = 0"))
     m = table.append(t("customer").filter("c_custkey % 2 <> 0"))
     table.delete("c_acctbal < 0")
@@ -120,25 +104,10 @@ def update_rows(spark, t):
     return table.read().select("c_custkey", "c_acctbal", "c_mktsegment")
 
 
-@_register("""
-SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey <= 800 AND c_custkey % 3 <> 0
-UNION ALL SELECT c_custkey, -1.0::DOUBLE FROM customer WHERE c_custkey > 800 AND c_custkey <= 1000""")
-def merge_into(spark, t):
-    c = t("customer").select("c_custkey", "c_acctbal")
-    table = _table(spark, c.filter("c_custkey <= 800"))
-    source = c.filter("c_custkey <= 1000 and (c_custkey % 3 <> 2 or c_custkey > 800)")
-    table.merge(
-        source, "t.c_custkey = s.c_custkey",
-        matched=[("s.c_custkey % 3 = 0", None), (None, {"c_acctbal": "t.c_acctbal + 1"})],
-        not_matched=[(None, {"c_custkey": "s.c_custkey", "c_acctbal": "-1.0D"})],
-    )
-    return table.read()
-
-
 @_register("""
 SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 3 <> 0
 UNION ALL SELECT c_custkey, -1.0::DOUBLE FROM customer WHERE c_custkey % 5 = 0""")
-def merge_into_whole(spark, t):
+def merge_into(spark, t):
     c = t("customer").select("c_custkey", "c_acctbal")
     table = _table(spark, c.filter("c_custkey % 5 <> 0"))
     table.merge(
@@ -247,9 +216,9 @@ def fragment_aware_join(spark, t):
 
 @_register("SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority")
 def bucketed_join(spark, t):
-    a = _table(spark, t("orders").withColumnRenamed("o_orderkey", "k"), sharding=["bucket", 4, "k"]).read()
-    b = _table(spark, t("lineitem").withColumnRenamed("l_orderkey", "k"), sharding=["bucket", 4, "k"]).read()
-    return bucket_join(a, b, "k", 4).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    a = _table(spark, t("orders").withColumnRenamed("o_orderkey", "k"), sharding=["bucket", 4, "k"])
+    b = _table(spark, t("lineitem").withColumnRenamed("l_orderkey", "k"), sharding=["bucket", 4, "k"])
+    return shard_join(a, b, "k").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
 @_register("SELECT count(*) AS n, count(DISTINCT o_orderpriority) AS kinds, true AS one_bucket_each FROM orders")
@@ -297,10 +266,7 @@ def index_rtree(spark, t):
     rows = t("customer").select("c_custkey", F.struct(F.col("c_custkey").cast("double").alias("x"), F.col("c_acctbal").alias("y")).alias("p"))
     table = _table(spark, rows, key="c_custkey")
     indexes.create_index(table, "r", "rtree", ["p"], page_size=128)
-    pages = indexes.box_candidates(table, "r", 100.0, 0.0, 300.0, 5000.0)
-    at = table.read(hidden=("_rowaddr",))
-    near = at.join(F.broadcast(pages), F.col("_rowaddr").between(F.col("a0"), F.col("a1")), "left_semi")
-    return near.filter("p.x BETWEEN 100 AND 300 AND p.y BETWEEN 0 AND 5000").select("c_custkey")
+    return indexes.box_read(table, "r", 100.0, 0.0, 300.0, 5000.0).select("c_custkey")
 
 
 WORDS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: length(w) <= 40)"
@@ -415,3 +381,201 @@ def dialect_session(spark, t):
 def r32_json_arrays(spark, t):
     tags = F.array("event_type", F.lit("x"))
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.array_join(tags, ",").alias("tags"), F.size(tags).cast("long").alias("n_tags"))
+
+
+# -- statements of the dialect and what tables tell of themselves
+
+
+def _session(spark, t, *tables: str):
+    """A dialect over a new warehouse that holds these tables."""
+    run = Dialect(spark, Catalog(spark, scratch(spark, "warehouse"))).run
+    for name in tables:
+        t(name).createOrReplaceTempView(f"tidemark_{name}")
+        run(f"CREATE TABLE {name} AS SELECT * FROM tidemark_{name}")
+    return run
+
+
+@_register("SELECT count(*) AS n FROM orders WHERE o_totalprice > 150000")
+def count_filtered(spark, t):
+    return spark.createDataFrame([(_table(spark, t("orders")).count("o_totalprice > 150000"),)], "n long")
+
+
+@_register("SELECT count(*) AS n FROM lineitem")
+def count_star_sql(spark, t):
+    return _session(spark, t, "lineitem")("SELECT count(*) AS n FROM lineitem")
+
+
+@_register("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0")
+def create_table_and_insert(spark, t):
+    run = _session(spark, t)
+    t("customer").createOrReplaceTempView("tidemark_customer")
+    run("CREATE TABLE rich (c_custkey BIGINT NOT NULL, c_acctbal DOUBLE) TBLPROPERTIES ('owner' = 'me')")
+    run("INSERT INTO rich SELECT c_custkey, c_acctbal FROM tidemark_customer WHERE c_acctbal > 0")
+    return run("SELECT * FROM rich")
+
+
+@_register("""
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt, FROM then' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 4 <> 1
+UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 4 = 0""".replace("c_custkey % 4 <> 1\n", "c_custkey % 4 NOT IN (0, 1)\n"))
+def merge_into_sql(spark, t):
+    run = _session(spark, t, "customer")
+    run("DELETE FROM customer WHERE c_custkey % 4 = 0")
+    run("""MERGE INTO customer c USING (SELECT * FROM tidemark_customer) s ON c.c_custkey = s.c_custkey
+           WHEN MATCHED AND s.c_custkey % 4 = 1 THEN DELETE
+           WHEN MATCHED AND c.c_acctbal < 0 THEN UPDATE SET c_mktsegment = 'debt, FROM then'
+           WHEN NOT MATCHED THEN INSERT (c_custkey, c_mktsegment) VALUES (s.c_custkey, 'new')""")
+    return run("SELECT c_custkey, c_mktsegment FROM customer")
+
+
+Q5 = """
+SELECT n_name, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue
+FROM customer, orders, lineitem, supplier, nation, region
+WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey
+ AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND o_orderdate >= DATE '1994-01-01' AND o_orderdate < DATE '1995-01-01'
+GROUP BY n_name"""
+
+
+@_register(Q5)
+def tpch_q5_sql(spark, t):
+    return _session(spark, t, "customer", "orders", "lineitem", "supplier", "nation", "region")(Q5)
+
+
+@_register("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (5, 11)")
+def index_btree_fragments(spark, t):
+    return _indexed(spark, t("orders"), "btree", "o_custkey", [5, 11], "o_custkey IN (5, 11)", build_mode="fragment").select("o_orderkey", "o_custkey")
+
+
+@_register("SELECT o_orderkey FROM orders WHERE o_custkey = 7")
+def index_after_optimize(spark, t):
+    """Fragments that were rewritten since are scanned, the others are found through the index."""
+    table = _table(spark, t("orders"), parts=6)
+    indexes.create_index(table, "i", "btree", ["o_custkey"])
+    table.delete("o_orderkey % 9 = 0 AND o_custkey <> 7")
+    table.optimize(target_rows_per_fragment=1_000_000)
+    return indexes.indexed_read(table, "i", [7], "o_custkey = 7").select("o_orderkey")
+
+
+@_register("SELECT 'late' AS name, 'btree' AS index_type, 0::BIGINT AS num_indexed_rows, count(*) AS num_unindexed_rows FROM orders UNION ALL SELECT 'whole', 'bitmap', count(*), 0 FROM orders")
+def show_indexes(spark, t):
+    run = _session(spark, t, "orders")
+    run("ALTER TABLE orders CREATE INDEX late USING btree (o_custkey) WITH (train = false)")
+    run("ALTER TABLE orders CREATE INDEX whole USING bitmap (o_orderstatus)")
+    run("ALTER TABLE orders CREATE INDEX gone USING zonemap (o_custkey)")
+    run("ALTER TABLE orders DROP INDEX gone")
+    return run("SHOW INDEXES IN orders").select("name", "index_type", "num_indexed_rows", "num_unindexed_rows")
+
+
+SHIPPED = "{0} >= {1} '1998-11-01{2}' AND {0} < {1} '1998-11-20{2}'"
+
+
+@_register("SELECT l_orderkey, l_linenumber FROM lineitem WHERE " + SHIPPED.format("l_shipdate", "TIMESTAMP", " 00:00:00"))
+def zonemap_dates(spark, t):
+    """The same rows by a zone map of dates and by one of timestamps."""
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("at"), F.col("l_shipdate").cast("date").alias("day"))
+    table = _table(spark, rows, parts=8, key="at")
+    for column in ("at", "day"):
+        indexes.create_index(table, f"zones_{column}", "zonemap", [column], rows_per_zone=4096)
+    both = [SHIPPED.format("at", "TIMESTAMP", " 00:00:00"), SHIPPED.format("day", "DATE", "")]
+    assert all(table.scan_report(c)["scanned_fragments"] < 8 for c in both)
+    a, b = (table.read(where=c).select("l_orderkey", "l_linenumber") for c in both)
+    return a.intersectAll(b)
+
+
+@_register("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12, 2)) AS price FROM orders WHERE CAST(o_totalprice AS DECIMAL(12, 2)) BETWEEN 900.00 AND 2000.50")
+def zonemap_decimals(spark, t):
+    rows = t("orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(12, 2)").alias("price"))
+    table = _table(spark, rows, parts=8, key="price")
+    indexes.create_index(table, "zones", "zonemap", ["price"], rows_per_zone=4096)
+    condition = "price BETWEEN 900.00 AND 2000.50"
+    assert table.scan_report(condition)["scanned_fragments"] < 8
+    return table.read(where=condition)
+
+
+@_register("SELECT 'old' AS name, 1::BIGINT AS version, 'tag' AS kind UNION ALL SELECT 'work', 2, 'branch'")
+def show_branches_and_tags(spark, t):
+    run = _session(spark, t, "region")
+    run("DELETE FROM region WHERE r_regionkey = 0")
+    run("ALTER TABLE region CREATE TAG old AS OF VERSION 1")
+    run("ALTER TABLE region CREATE TAG gone")
+    run("ALTER TABLE region CREATE BRANCH work")
+    run("ALTER TABLE region CREATE BRANCH spare")
+    run("ALTER TABLE region DROP TAG gone")
+    run("ALTER TABLE region DROP BRANCH spare")
+    tags = run("SHOW TAGS IN region").select("name", "version", F.lit("tag").alias("kind"))
+    return tags.union(run("SHOW BRANCHES IN region").select("name", F.col("parent_version").alias("version"), F.lit("branch").alias("kind")))
+
+
+@_register("SELECT 'nations' AS tableName, 'owner' AS key, 'me' AS value, 'n_nationkey' AS primary_key, count(*) AS n FROM nation")
+def catalog_statements(spark, t):
+    """Namespaces, properties, a primary key, a rename and a dropped table."""
+    run = _session(spark, t, "nation", "region")
+    run("CREATE NAMESPACE extra")
+    run("CREATE TABLE extra.nation (n_nationkey BIGINT NOT NULL, n_name STRING)")
+    run("INSERT INTO extra.nation SELECT n_nationkey, n_name FROM nation")
+    run("ALTER TABLE extra.nation SET TBLPROPERTIES ('owner' = 'me', 'other' = 'x')")
+    run("ALTER TABLE extra.nation UNSET TBLPROPERTIES ('other')")
+    key = run("ALTER TABLE extra.nation SET UNENFORCED PRIMARY KEY (n_nationkey)").first()[1]
+    run("ALTER TABLE extra.nation RENAME TO extra.nations")
+    run("DROP TABLE region PURGE")
+    names = run("SHOW TABLES IN extra").crossJoin(run("SHOW TBLPROPERTIES extra.nations"))  # a row each
+    return names.withColumn("primary_key", F.lit(key)).withColumn("n", F.lit(run("SELECT count(*) AS n FROM extra.nations").first()[0]))
+
+
+@_register("SELECT n_nationkey FROM nation")
+def create_at_location(spark, t):
+    """A table is registered where it lies."""
+    table = _table(spark, t("nation").select("n_nationkey"))
+    run = _session(spark, t)
+    run(f"CREATE TABLE there (n_nationkey BIGINT) LOCATION '{table.path}'")
+    return run("SELECT n_nationkey FROM there")
+
+
+@_register("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'update' ELSE 'insert' END AS change FROM customer WHERE c_acctbal < 0 OR c_custkey % 2 = 1")
+def concurrent_commits(spark, t):
+    """An append goes on top of an update that it didn't see; both are among the changes."""
+    c = t("customer").select("c_custkey", "c_acctbal")
+    even = c.filter("c_custkey % 2 = 0 OR c_acctbal < 0")
+    table = _table(spark, even, properties={"enable_stable_row_ids": "true"})
+    base = table.manifest()
+    added = table._write(c.filter("c_custkey % 2 = 1 AND c_acctbal >= 0"), base)
+    table.update({"c_acctbal": "0"}, "c_acctbal < 0")
+    table._commit_rows(base, "append", added)
+    return table.changes(since=1).select("c_custkey", "change")
+
+
+@_register("SELECT 6 AS n_all, count(*) AS rows, true AS fewer FROM lineitem")
+def scan_metrics(spark, t):
+    table = _table(spark, t("lineitem"), parts=6, key="l_orderkey")
+    indexes.create_index(table, "z", "zonemap", ["l_orderkey"])
+    report = table.scan_report("l_orderkey < 100")
+    return spark.createDataFrame([(report["fragments"], report["rows"], report["scanned_fragments"] < 6)], "n_all int, rows long, fewer boolean")
+
+
+REFUSED = {
+    "search: k": "SELECT * FROM SEARCH('docs', 'mit', k => 5)", "match: not a literal": "SELECT * FROM docs WHERE match(text, source)", "match: under OR": "SELECT * FROM docs WHERE match(text, 'mit') OR doc_id = 1",
+    "match: option": "SELECT * FROM docs WHERE match(text, 'mit', 'colour=red')", "vector: metric": "SELECT * FROM VECTOR_SEARCH(table => 'docs', query_vector => array(1.0), distance_type => 'hamming')",
+    "index statement": "CREATE INDEX i ON docs (doc_id)", "index method": "ALTER TABLE docs CREATE INDEX i USING hash (doc_id)", "unknown version": "SELECT * FROM docs VERSION AS OF 99",
+}
+
+
+@_register("SELECT unnest([" + ", ".join(f"'{x}'" for x in REFUSED) + "]) AS refused")
+def refused_statements(spark, t):
+    """Statements that must be refused with an error, not run in another sense."""
+    run = _session(spark, t)
+    t("documents").select("doc_id", "text", "source").createOrReplaceTempView("tidemark_docs")
+    run("CREATE TABLE docs AS SELECT * FROM tidemark_docs")
+    found = []
+    for name, text in REFUSED.items():
+        try:
+            run(text)
+        except ValueError:
+            found.append((name,))
+    return spark.createDataFrame(found, "refused string")
+
+
+@_register("SELECT o_orderkey, o_orderstatus || '!' AS status FROM orders")
+def backfill_sql(spark, t):
+    run = _session(spark, t, "orders")
+    run("SELECT _rowaddr, _fragid, o_orderstatus || '!' AS status FROM orders").createOrReplaceTempView("tidemark_status")
+    run("ALTER TABLE orders ADD COLUMNS status FROM tidemark_status")
+    return run("SELECT o_orderkey, status FROM orders")
