@@ -53,11 +53,26 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries inside remove their shuffle files when they end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def materialize(df: DataFrame, name: str, rows: int = TEXT_ROWS) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage.  Python gets ``rows`` rows at a time."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage.
+
+    Python gets ``rows`` rows at a time.  What was shuffled for it goes once it is written.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    with small_batches(spark, rows):
+    with small_batches(spark, rows), shuffles_removed(spark):
         df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path

@@ -33,7 +33,7 @@ ORDER, START = 4, 2
 #: One in so many trusted documents isn't trained on; thresholds come from these alone.
 HELD_OUT = 3
 #: Text bytes of a chunk, those of a blob (one text may have more), and the blobs that Python gets at a time.
-CHUNK_BYTES, BLOB_BYTES, BLOBS = 16 << 20, 4 << 20, 8
+CHUNK_BYTES, BLOB_BYTES, BLOBS = 32 << 20, 4 << 20, 4
 #: Rows of (id, hash) keys that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Level of the trusted texts' quantile per language, and the slack on its logarithm over the median's.
@@ -62,16 +62,28 @@ def _text_id() -> Column:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents as compressed blobs: less to write and shuffle, and a few at a time to hold."""
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))
-    chunk, held = 0, CHUNK_BYTES
-    for batch in slices(batches, "text", BLOB_BYTES):
-        if held + batch.column("text").nbytes > CHUNK_BYTES:
-            chunk, held = int.from_bytes(os.urandom(8), "little", signed=True), 0  # only tells chunks apart
-        held += batch.column("text").nbytes
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 7))
+    chunk, size, held = 0, CHUNK_BYTES, []
+    bytes_of = lambda rows: rows.column("text").nbytes
+
+    def blob() -> pa.RecordBatch:
+        nonlocal chunk, size
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        if size + bytes_of(rows) > CHUNK_BYTES:
+            chunk, size = int.from_bytes(os.urandom(8), "little", signed=True), 0  # only tells chunks apart
+        size += bytes_of(rows)
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
-            out.write_batch(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "packed"])
+        with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+            out.write_batch(rows)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "packed"])
+
+    for batch in slices(batches, "text", BLOB_BYTES):
+        if held and sum(map(bytes_of, held)) + bytes_of(batch) > BLOB_BYTES:
+            yield blob()
+        held.append(batch)
+    if held:
+        yield blob()
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -167,13 +179,16 @@ def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     # the weight that a context leaves to the lower order; an unknown context leaves all
     rest = F.coalesce((F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total"), F.lit(1.0))
     parts = materialize(rows.select("k", "lang", "g", own.alias("own"), rest.alias("rest"), "size"), "parts")
+    forget(stacked)
     out = parts.filter(F.col("k") == ORDER).select("lang", "g", F.col("own").alias("p"), F.col("rest").alias("w"))
     for k in range(ORDER - 1, 0, -1):
         lower = parts.filter(F.col("k") == k).select("lang", F.col("g").alias("s"), F.col("own").alias("lower_own"), F.col("rest").alias("lower_rest"), "size")
         out = out.withColumn("s", _suffix(F.col("g"), k)).join(lower, ["lang", "s"])
         p, w = F.col("p") + F.col("w") * F.col("lower_own"), F.col("w") * F.col("lower_rest")
         out = out.select("lang", "g", (p + w / (F.col("size") + 1) if k == 1 else p).alias("p"), w.alias("w"))
-    return out.select("lang", "g", "p")
+    model = materialize(out.select("lang", "g", "p"), "model")
+    forget(parts)
+    return model
 
 
 SCORED = T.StructType().add("doc_id", "long").add("text_id", "long").add("lang", "string").add("trusted", "boolean").add("trained", "boolean").add("n_units", "long").add("perplexity", "double")
@@ -233,12 +248,13 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
         gathered = materialize(packed.mapInArrow(_gather, "chunk long, lang string, g long, n long"), "grams")
     counts = materialize(gathered.filter("n is not null").groupBy("lang", "g").agg(F.sum("n").alias("n")), "counts")
     wanted = gathered.filter("n is null").join(counts.select("lang").distinct(), "lang", "left_semi").select("chunk", "lang", "g")
-    model = materialize(probabilities(counts, wanted.select("lang", "g").distinct()), "model")
-    own = wanted.join(model, ["lang", "g"]).select("chunk", "lang", "g", F.log("p").alias("logp"))
+    model = probabilities(counts, wanted.select("lang", "g").distinct())
+    own = materialize(wanted.join(model, ["lang", "g"]).select("chunk", "lang", "g", F.log("p").alias("logp")), "own")
+    forget(ids, gathered, counts, model)
     scored = packed.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_score, SCORED)
     scored = scored.withColumn("lang", F.when(F.col("lang") != "n", F.expr("substring(lang, 2)")))
     scores = materialize(scored.select("doc_id", "text_id", "lang", "n_units", "perplexity", "trusted", "trained"), "scores")
-    forget(ids, packed, gathered, counts, model)
+    forget(packed, own)
     return scores
 
 
