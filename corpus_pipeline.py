@@ -49,7 +49,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
 
-#: Perplexities, tilings and token ids are beyond SQL; tests hold the pipeline against a brute-force version.
+#: Perplexities, tilings and token ids are beyond SQL.  Tests hold near duplicates and token counts against brute force, and the other stages against what they say.
 ORACLE_SQL = None
 
 
