@@ -2,6 +2,7 @@ import duckdb
 import public_tokenizers
 import pytest
 from tests.llm.common import documents
+from tests.llm.test_operators import jaccard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -50,6 +51,14 @@ def test_pipeline(spark):
             assert sum(r.n_tokens for r in docs.collect()) == want
 
 
+def test_pipeline_near_duplicates_against_brute_force(spark):
+    """One document stays of each group that all pairs give."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    groups = jaccard([(r.doc_id, r.text) for r in docs.collect()])
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert kept == {i for i, (_, group) in groups.items() if i == group} and len(kept) < len(groups)
+
+
 def test_pipeline_stages_take_nothing(spark):
     empty = documents(spark, []).select(*corpus_pipeline.COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
