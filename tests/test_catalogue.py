@@ -40,8 +40,8 @@ def test_whole_tables_grow_with_the_input(spark):
     """Every customer is in the time travel and in the merge (all fifths are inserted, two thirds of the others stay)."""
     sf = "/root/testdata/sf0.01"
     keys = [r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
-    for name in ("time_travel_version_whole", "time_travel_timestamp_whole"):
+    for name in ("time_travel_version", "time_travel_timestamp"):
         assert catalogue.QUERIES[name](spark, sf).count() == len(keys) > 1000
-    merged = {r.c_custkey: r.c_acctbal for r in catalogue.QUERIES["merge_into_whole"](spark, sf).collect()}
+    merged = {r.c_custkey: r.c_acctbal for r in catalogue.QUERIES["merge_into"](spark, sf).collect()}
     assert set(merged) == {k for k in keys if k % 5 == 0 or k % 3}
     assert all(merged[k] == -1 for k in keys if k % 5 == 0)
