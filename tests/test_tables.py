@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalar import bucket, fragment_or_rand
 from tidemark.operators import indexes, prune, search
+from tidemark.operators.joins import table_join
 from tidemark.plans.dialect import Dialect
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.scratch import scratch
@@ -428,3 +429,112 @@ def test_dialect_strings_commas_and_merge(spark):
     with pytest.raises(ValueError):
         sql("MERGE INTO a USING a2 ON a.id = a2.id WHEN NOT MATCHED BY SOURCE THEN DELETE")
     assert sql("SELECT id FROM a VERSION AS OF 1 AS o WHERE o.id < 2 ORDER BY id").collect() == [(0,), (1,)]
+
+
+def texts_table(spark, path):
+    rows = [(i, f"alpha {'beta ' * (i % 4)}the gamma{i % 3} word" if i % 9 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, body string").repartitionByRange(3, "id")
+    return Table.create_as(spark, path, df)
+
+
+@pytest.mark.parametrize("options", [{}, {"lower_case": "false"}, {"base_tokenizer": "ngram"}])
+def test_index_scores_equal_those_of_a_scan(spark, tmp_path, options):
+    """After appends, deletes and compaction too; a term in all rows, several terms, fuzzy ones."""
+    t = texts_table(spark, str(tmp_path / "t"))
+    indexes.create_index(t, "f", "fts", ["body"], **options)
+    analysis = indexes._analysis(options)
+
+    def same(query, opts=None):
+        m = t.manifest()
+        got = {r[0]: round(r[1], 9) for r in indexes.index_scores(t, m, "f", query, opts).collect()}
+        want = {r[0]: round(r[1], 9) for r in search.bm25(t.read(hidden=("_rowaddr",)), ["body"], query, "_rowaddr", opts, **analysis).collect()}
+        assert got == want
+        return len(got)
+
+    assert same("beta gamma1") > 0 and same("alpha") > 0 and same("nothing") == 0
+    same("beta gamma2", "operator=AND,boost=2")
+    t.append(spark.createDataFrame([(100, "beta beta new"), (101, None)], "id long, body string"))
+    t.delete("id < 10 or id = 100")
+    same("beta gamma0")
+    t.optimize(target_rows_per_fragment=1000)
+    same("beta gamma0")
+    if not options:
+        same("betta gamm1", "fuzziness=1")
+    with pytest.raises(ValueError):
+        indexes.index_scores(t, t.manifest(), "f", "--")
+
+
+def test_search_reads_fragments_of_its_hits(spark, tmp_path):
+    d = Dialect(spark, Catalog(spark, str(tmp_path / "w")))
+    t = texts_table(spark, str(tmp_path / "other"))
+    d.run("CREATE TABLE docs (id bigint, body string)")
+    d.catalog.table("docs").append(t.read())
+    query = "SELECT * FROM SEARCH(table => 'docs', query => 'beta', k => 5, search_columns => 'body'{})"
+    plain = [[tuple(r) for r in d.run(query.format(x)).collect()] for x in ("", ", filter => 'id > 20'")]
+    d.run("ALTER TABLE docs CREATE INDEX words USING fts (body)")
+    assert [[tuple(r) for r in d.run(query.format(x)).collect()] for x in ("", ", filter => 'id > 20'")] == plain
+
+
+def test_manifests_are_cached_until_the_table_is_made_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    t = Table.create_as(spark, path, spark.range(5).toDF("a"))
+    first = t.manifest()
+    reads = []
+    t.store.read = lambda name, real=t.store.read: reads.append(name) or real(name)
+    assert t.manifest() == first and not reads
+    first.properties["x"] = "y"  # a caller's copy is its own
+    assert t.manifest().properties == {}
+    t.store.delete("")
+    assert Table.create_as(spark, path, spark.range(7).toDF("b")).manifest().rows == 7
+    assert Table(spark, path).schema.names == ["b"]
+
+
+def test_statistics_size_a_join(spark, tmp_path):
+    small, big = numbers(spark, 40), Table.create_as(spark, str(tmp_path / "b"), spark.range(1000).select(F.col("id").alias("x"), F.lit("w" * 50).alias("w")))
+    indexes.create_index(small, "z", "zonemap", ["x"])
+    whole, part = small.statistics(), small.statistics("x < 10")
+    assert whole["rows"] == 40 and part["rows"] == 10 and 1 <= part["bytes"] < whole["bytes"]
+    assert 1 <= small.statistics(columns=["x"])["bytes"] < whole["bytes"]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    joined = table_join(big, small, ["x"])
+    assert joined.count() == 40 and "rightHint=(strategy=broadcast)" in plan(joined)
+    assert "broadcast" not in plan(table_join(big, small, ["x"], limit=1)) and "broadcast" not in plan(table_join(small, big, ["x"], "full"))
+    assert table_join(small, big, ["x"], "left").count() == 40 and table_join(big, small, ["x"], "left_anti").count() == 960
+
+
+def test_adopted_files_stay_where_they_are(spark, tmp_path):
+    source = tmp_path / "in"
+    spark.range(30).select("id", (F.col("id") % 3).alias("g")).repartition(3).write.parquet(str(source))
+    t = Table.adopt(spark, str(tmp_path / "t"), str(source))
+    assert t.count() == 30 and len(t.manifest().fragments) == 3
+    assert t.read(hidden=("_rowaddr",)).select("_rowaddr").distinct().count() == 30
+    t.delete("g = 0")
+    t.update({"g": "7"}, "id = 1")
+    t.optimize()
+    t.vacuum(delete_unverified=True)
+    assert sorted(map(tuple, t.read().collect())) == sorted((i, 7 if i == 1 else i % 3) for i in range(30) if i % 3)
+    assert spark.read.parquet(str(source)).count() == 30
+    with pytest.raises(ValueError):
+        Table.adopt(spark, str(tmp_path / "t"), str(source))
+    spark.range(4).selectExpr("id", "id % 2 AS p").write.partitionBy("p").parquet(str(tmp_path / "parts"))
+    with pytest.raises(ValueError):
+        Table.adopt(spark, str(tmp_path / "u"), str(tmp_path / "parts"))
+    spark.createDataFrame([], "a long").write.parquet(str(tmp_path / "empty"))
+    assert Table.adopt(spark, str(tmp_path / "e"), str(tmp_path / "empty")).read().count() == 0
+
+
+def test_format_reads_versions_types_and_null_columns(spark, tmp_path):
+    from tidemark.sources.format import register
+
+    register(spark)
+    path = str(tmp_path / "t")
+    df = spark.sql("SELECT id, CAST(id AS DECIMAL(9, 2)) AS d, DATE '2024-01-02' AS day, TIMESTAMP '2024-01-02 03:04:05.000006' AS at, array(id, NULL) AS l, IF(id % 2 = 0, 's', NULL) AS s, struct(id AS x) AS st FROM range(20)")
+    t = Table.create_as(spark, path, df.repartition(2))
+    t.delete("id IN (3, 4)")
+    read = lambda **o: sorted(map(tuple, spark.read.format("tidemark").options(**o).load(path).collect()))
+    assert read() == sorted(map(tuple, t.read().collect())) and len(read(version=1, batch_size=3)) == 20
+    t.append(spark.sql("SELECT * FROM (SELECT 99L AS id, CAST(1 AS DECIMAL(9, 2)) AS d, DATE '2024-01-02' AS day, TIMESTAMP '2024-01-02 03:04:05' AS at, array(1L) AS l, 'x' AS s, struct(1L AS x) AS st)"))
+    assert len(read()) == 19
+    for bad in ({"version": 77}, {"nonsense": 1}):
+        with pytest.raises(Exception, match="version 77|unknown options"):
+            read(**bad)

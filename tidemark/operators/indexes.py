@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import time
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalar import tokens
+from tidemark.operators import search
 
 METHODS = ("zonemap", "btree", "bitmap", "label_list", "ngram", "bloomfilter", "rtree", "fts", "inverted")
 OPTIONS = {
@@ -71,7 +74,10 @@ def create_index(table, name: str, method: str, columns: list[str], **options) -
             place = f"index/{name}/{uuid.uuid4().hex}"
             data = _build(method, _addr(table, m).select(F.col(column).alias("v"), F.col("_rowaddr").alias("rowaddr")), parts, options)
             data.write.parquet(table.store.path(place))
-            entry["place"] = place
+            entry["place"], entry["built"] = place, len(fragments)
+            if method == "fts":
+                entry["lengths"] = f"index/{name}/{uuid.uuid4().hex}"
+                _lengths(_addr(table, m).select(F.col(column).alias("v"), F.col("_rowaddr").alias("rowaddr")), entry["options"]).write.parquet(table.store.path(entry["lengths"]))
     table._commit(m, "create index", indexes=m.indexes | {name: entry})
     return len(fragments), name
 
@@ -97,10 +103,31 @@ def _build(method: str, rows: DataFrame, parts: int, options: dict) -> DataFrame
         page = F.floor(F.col("rowaddr").bitwiseAND(F.lit(0xFFFFFFFF)) / size)
         boxes = rows.filter("v is not null").groupBy(F.shiftrightunsigned("rowaddr", 32).alias("fragment"), page.alias("page"))
         return boxes.agg(F.min("v.x").alias("x0"), F.max("v.x").alias("x1"), F.min("v.y").alias("y0"), F.max("v.y").alias("y1"), F.min("rowaddr").alias("a0"), F.max("rowaddr").alias("a1"))
-    analysis = {k: options[k] for k in ("base_tokenizer", "lower_case", "max_token_length", "ascii_folding") if k in options}
-    words = rows.filter("v is not null").withColumn("w", tokens(F.col("v"), **analysis)).withColumn("length", F.size("w"))
+    return _posts(rows, options).repartitionByRange(parts, "term", "rowaddr").sortWithinPartitions("term", "rowaddr")  # a frequent term's rows go to several tasks
+
+
+def _true(value) -> bool:
+    return str(value).lower() == "true"
+
+
+def _analysis(options: dict) -> dict:
+    """How an index splits texts; a query must be split alike."""
+    out = {k: _true(options[k]) for k in ("lower_case", "ascii_folding") if k in options}
+    if "base_tokenizer" in options:
+        out["base_tokenizer"] = str(options["base_tokenizer"])
+    if "max_token_length" in options:
+        out["max_token_length"] = int(options["max_token_length"])
+    return out
+
+
+def _posts(rows: DataFrame, options: dict) -> DataFrame:
+    words = rows.filter("v is not null").withColumn("w", tokens(F.col("v"), **_analysis(options))).withColumn("length", F.size("w"))
     posts = words.select("rowaddr", "length", F.posexplode("w").alias("place", "term"))
-    return posts.groupBy("term", "rowaddr", "length").agg(F.sort_array(F.collect_list("place")).alias("places")).repartition(parts, "term").sortWithinPartitions("term", "rowaddr")
+    return posts.groupBy("term", "rowaddr", "length").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+
+def _lengths(rows: DataFrame, options: dict) -> DataFrame:
+    return rows.filter("v is not null").select("rowaddr", F.size(tokens(F.col("v"), **_analysis(options))).alias("length"))
 
 
 def trigrams(text: Column) -> Column:
@@ -111,7 +138,7 @@ def trigrams(text: Column) -> Column:
 def _bitmaps(rows: DataFrame) -> DataFrame:
     """Value to row sets: a bitmap per value and block of addresses, so no value's rows meet in one place."""
     at = rows.select("v", F.expr("bitmap_bucket_number(rowaddr + 1)").alias("block"), F.expr("bitmap_bit_position(rowaddr + 1)").alias("bit"))
-    return at.groupBy("v", "block").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).repartition("v").sortWithinPartitions("v", "block")
+    return at.groupBy("v", "block").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).repartitionByRange("v", "block").sortWithinPartitions("v", "block")
 
 
 def _blooms(rows: DataFrame, items: int) -> DataFrame:
@@ -204,6 +231,74 @@ def indexed_read(table, name: str, values: list, condition: str, use_scalar_inde
     return rows.unionByName(table.read(where=condition, fragments=rest)) if rest else rows
 
 
+def index_scores(table, m, name: str, query: str, options: str | None = None) -> DataFrame:
+    """BM25 by row address (``rowaddr``, ``_score``) from a full-text index, equal to ``search.bm25`` of the version's rows.
+
+    Only the query's terms are read of the postings; fragments that the index doesn't
+    cover are split here, and rows deleted since it was built count no more.
+    """
+    entry = m.indexes[name.lower()]
+    if entry["type"] != "fts" or not entry.get("lengths"):
+        raise ValueError(f"{name} is no trained full-text index")
+    opts, terms = search.parse_options(options), search.query_tokens(query, **_analysis(entry["options"]))
+    if not terms:
+        raise ValueError("the query has no token")
+    read = lambda place: table.spark.read.parquet(table.store.path(entry[place]))
+    posts, lengths = read("place"), read("lengths")
+    term, head = F.col("term"), opts["prefix_length"]
+    near = lambda t: F.levenshtein(term, F.lit(t), opts["fuzziness"]).between(0, opts["fuzziness"]) & term.startswith(t[:head])
+    tests = [near(t) if opts["fuzziness"] else term == t for t in terms]
+    wanted = reduce(or_, tests) if opts["fuzziness"] else term.isin(terms)
+    posts = posts.filter(wanted)
+    there = {f["id"]: f for f in m.fragments}
+    covered, rest = set(entry["fragments"]) & set(there), set(there) - set(entry["fragments"])
+    if len(covered) < entry["built"]:
+        known = F.broadcast(table.spark.createDataFrame([(i,) for i in sorted(covered)], "__id long"))
+        posts, lengths = (x.join(known, F.shiftrightunsigned("rowaddr", 32) == F.col("__id"), "left_semi") for x in (posts, lengths))
+    if any(there[i]["deleted"] for i in covered):
+        gone = table.deleted(m, sum(f["deleted"] for f in m.fragments))
+        posts, lengths = (x.join(gone, "rowaddr", "left_anti") for x in (posts, lengths))
+    if rest:
+        new = table._scan(m, {"_rowaddr"}, rest).select(F.col(entry["column"]).alias("v"), F.col("_rowaddr").alias("rowaddr"))
+        found = _posts(new, entry["options"]).filter(wanted)
+        posts, lengths = posts.select("term", "rowaddr", "length", "places").unionByName(found), lengths.unionByName(_lengths(new, entry["options"]))
+    hits = posts.groupBy("rowaddr").agg(F.max("length").alias("length"), *[F.sum(F.when(x, F.size("places"))).alias(f"tf{j}") for j, x in enumerate(tests)])
+    n, average = lengths.agg(F.count("*"), F.avg("length")).first()
+    seen = hits.agg(*[F.count(f"tf{j}") for j in range(len(terms))]).first()
+    score = F.lit(0.0)
+    for j, d in enumerate(seen):
+        tf = F.coalesce(f"tf{j}", F.lit(0)).cast("double")
+        score = score + F.log(F.lit(1 + (n - d + 0.5) / (d + 0.5))) * tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * F.col("length") / (average or 1.0)))
+    if opts["operator"] == "AND":
+        hits = hits.dropna(subset=[f"tf{j}" for j in range(len(terms))])
+    return hits.select("rowaddr", (score * opts["boost"]).alias("_score"))
+
+
+def index_search(table, name: str, query: str, k: int = 10, columns=None, filter: str | None = None, options: str | None = None, version: int | None = None) -> DataFrame:
+    """As ``search.search`` on the index's column, through the index: only fragments of the k best rows are read.
+
+    With a filter, or with stable row ids (which order ties), all rows that match are
+    joined first.
+    """
+    search._check(k, 0)
+    m = table.manifest(version)
+    shown = search._columns(table.spark.createDataFrame([], m.struct), columns, ())
+    scored = index_scores(table, m, name, query, options)
+    if filter or _true(m.properties.get("enable_stable_row_ids", "false")):
+        rows = table._scan(m, {"_rowaddr", "_rowid"})
+        rows = (rows.filter(filter) if filter else rows).join(scored, F.col("_rowaddr") == F.col("rowaddr"))
+        return rows.orderBy(F.desc("_score"), "_rowid").limit(k).select(*shown, F.col("_score").cast("float"))
+    best = scored.orderBy(F.desc("_score"), "rowaddr").limit(k).collect()  # k rows, the feature's own limit
+    top = table.spark.createDataFrame([tuple(r) for r in best], "rowaddr long, _score double")
+    rows = table._scan(m, {"_rowaddr"}, {r[0] >> 32 for r in best})
+    return rows.join(F.broadcast(top), F.col("_rowaddr") == F.col("rowaddr")).orderBy(F.desc("_score"), "rowaddr").select(*shown, F.col("_score").cast("float"))
+
+
+def text_index(m, columns: list[str] | None) -> str | None:
+    """The name of a trained full-text index on the one column, if there is one."""
+    return next((n for n, e in sorted(m.indexes.items()) if columns and len(columns) == 1 and e["type"] == "fts" and e.get("lengths") and e["column"].lower() == columns[0].lower()), None)
+
+
 def drop_index(table, name: str) -> tuple[str, str]:
     m = table.manifest()
     if name.lower() not in m.indexes:

@@ -36,3 +36,19 @@ def shard_join(left: Table, right: Table, key: str, how: str = "inner") -> DataF
 def sized_broadcast(df: DataFrame, table_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """A broadcast hint only if the manifest proves the table small."""
     return F.broadcast(df) if table_bytes <= limit else df
+
+
+def table_join(left: Table, right: Table, on: list[str], how: str = "inner", left_where: str | None = None, right_where: str | None = None, limit: int = 32 << 20) -> DataFrame:
+    """Join of two tables' latest rows on columns of the same name; a side is broadcast if its manifest proves it small and the join's type allows it.
+
+    Spark sizes a scan by its files alone; the manifest also knows which fragments a
+    condition leaves and which rows were deleted.
+    """
+    versions = left.manifest().version, right.manifest().version
+    sides = [t.read(version=v, where=w) for t, v, w in zip((left, right), versions, (left_where, right_where), strict=True)]
+    sizes = [t.statistics(w, version=v)["bytes"] for t, v, w in zip((left, right), versions, (left_where, right_where), strict=True)]
+    may = {"inner": (True, True), "left": (False, True), "left_semi": (False, True), "left_anti": (False, True), "right": (True, False)}.get(how, (False, False))
+    small = min((0, 1), key=lambda i: (not may[i], sizes[i]))
+    if may[small]:
+        sides[small] = sized_broadcast(sides[small], sizes[small], limit)
+    return sides[0].join(sides[1], on, how)

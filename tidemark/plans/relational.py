@@ -1,13 +1,20 @@
 """Relational queries: one text for Spark and for DuckDB, tables in braces.
 
-Spark gets the tables as DataFrames (no global views), so Catalyst sees plain Parquet
-scans and prunes, pushes down and reorders as it likes.
+Spark gets versioned tables' scans as DataFrames (no global views).  The tables adopt
+the input's files where they lie, so Catalyst sees plain Parquet scans and prunes,
+pushes down and reorders as it likes.
 """
 
 from __future__ import annotations
 
 from string import Formatter
 
+from tidemark.sources.scratch import scratch
+from tidemark.sources.store import Store
+from tidemark.sources.table import Table
+
+_adopted: dict[tuple, Table] = {}
+
 REVENUE = "l_extendedprice * (1 - l_discount)"
 
 TEXTS = {
@@ -111,9 +118,18 @@ def tables_of(text: str) -> list[str]:
     return list(dict.fromkeys(name for _, name, _, _ in Formatter().parse(text) if name))
 
 
+def table(spark, sf_dir: str, name: str) -> Table:
+    """The versioned table over an input; made once for as long as its files stay as they are."""
+    source = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, source, *sorted(Store(spark, source).stamps("").items()))
+    if key not in _adopted:
+        _adopted[key] = Table.adopt(spark, scratch(spark, name), source)
+    return _adopted[key]
+
+
 def query(text: str):
     def run(spark, sf_dir: str):
-        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(text)})
+        return spark.sql(text, **{t: table(spark, sf_dir, t).read() for t in tables_of(text)})
 
     return run
 

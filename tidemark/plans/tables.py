@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import bucket
 from tidemark.operators import indexes, search
-from tidemark.operators.joins import fragment_join, shard_join
+from tidemark.operators.joins import fragment_join, shard_join, table_join
 from tidemark.plans.dialect import Dialect
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.scratch import scratch
@@ -579,3 +579,46 @@ def backfill_sql(spark, t):
     run("SELECT _rowaddr, _fragid, o_orderstatus || '!' AS status FROM orders").createOrReplaceTempView("tidemark_status")
     run("ALTER TABLE orders ADD COLUMNS status FROM tidemark_status")
     return run("SELECT o_orderkey, status FROM orders")
+
+
+# -- search through an index, sized joins, adopted files
+
+
+@_register(f"SELECT doc_id, round(score, 6) AS score FROM ({BM25.replace('FROM documents)', "FROM documents WHERE source <> 'src2' OR source IS NULL)")}) ORDER BY score DESC, doc_id LIMIT 15")
+def search_through_index(spark, t):
+    """Half of the documents are in the index, the others are appended, and some of both are deleted."""
+    rows = t("documents").select("doc_id", "text", "source")
+    cut = rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY doc_id)")).first()[0]
+    table = _table(spark, rows.filter(F.col("doc_id") <= cut), key="doc_id")
+    indexes.create_index(table, "words", "fts", ["text"])
+    table.append(rows.filter(F.col("doc_id") > cut))
+    table.delete("source = 'src2'")
+    m = table.manifest()
+    scored = indexes.index_scores(table, m, "words", "MIT license")
+    found = table.read(version=m.version, hidden=("_rowaddr",)).join(scored, F.col("_rowaddr") == F.col("rowaddr"))
+    return found.orderBy(F.desc("_score"), "doc_id").limit(15).select("doc_id", F.round("_score", 6).alias("score"))
+
+
+@_register("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 GROUP BY n_name")
+def sized_join(spark, t):
+    nations = _table(spark, t("nation").withColumnRenamed("n_nationkey", "k"))
+    customers = _table(spark, t("customer").withColumnRenamed("c_nationkey", "k"))
+    return table_join(customers, nations, ["k"], left_where="c_acctbal > 5000").groupBy("n_name").agg(F.count("*").alias("n"))
+
+
+@_register("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def join_hint(spark, t):
+    sql = _session(spark, t, "orders")
+    return sql("SELECT /*+ FRAGMENT_AWARE_JOIN(b) */ a.o_orderpriority, count(*) AS n FROM orders a JOIN orders b ON a._rowaddr = b._rowaddr GROUP BY a.o_orderpriority")
+
+
+@_register("SELECT l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_quantity <= 40 GROUP BY l_linestatus")
+def format_read(spark, t):
+    """The data source's short name, over a table with several fragments and deleted rows."""
+    from tidemark.sources.format import register
+
+    register(spark)
+    table = _table(spark, t("lineitem"))
+    table.delete("l_quantity > 40")
+    rows = spark.read.format("tidemark").load(table.path)
+    return rows.groupBy("l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))

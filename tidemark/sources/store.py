@@ -23,7 +23,8 @@ class Store:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        """A file's place; adopted files are named in full."""
+        return name if "://" in name or name.startswith(("/", "file:")) else f"{self.root}/{name}"
 
     def exists(self, name: str = "") -> bool:
         return self.fs.exists(self._path(name))
@@ -90,6 +91,21 @@ class Store:
             return {}
         return {x.getPath().getName(): x.getLen() for x in self.fs.listStatus(self._path(name)) if x.isFile()}
 
+    def stamps(self, name: str) -> dict[str, tuple[int, int]]:
+        """Sizes and times of the files of a folder."""
+        if not self.exists(name):
+            return {}
+        return {x.getPath().getName(): (x.getLen(), x.getModificationTime()) for x in self.fs.listStatus(self._path(name)) if x.isFile()}
+
+    def files(self) -> dict[str, int]:
+        """Full paths and sizes of all files below the root, or of the root if it is a file; hidden ones are left out."""
+        out, found = {}, self.fs.listFiles(self._path(""), True)
+        while found.hasNext():
+            x = found.next()
+            if x.getPath().getName()[0] not in "._":
+                out[x.getPath().toString()] = x.getLen()
+        return out
+
     def walk(self, name: str) -> dict[str, int]:
         if not self.exists(name):
             return {}

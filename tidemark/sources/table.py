@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,13 @@ BROADCAST_ROWS = 1_000_000
 MAX_ROWS_PER_FILE = 1_000_000
 #: Days after which a file that no version names is taken for the rest of a failed write.
 UNVERIFIED_DAYS = 7
+#: Manifests kept in memory by this process, the least used go first.
+CACHED_MANIFESTS = 256
+_manifests: OrderedDict[tuple, str] = OrderedDict()
+
+
+#: Bytes of a value by its type, as Spark's own estimates have them; 20 for any other.
+_WIDTHS = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4, "date": 4, "long": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8, "decimal": 16, "binary": 100}
 
 
 @dataclass
@@ -106,7 +114,8 @@ class Table:
 
     def manifest(self, version: int | None = None, timestamp: float | None = None) -> Manifest:
         """That of a version, of the last commit not after ``timestamp`` (epoch seconds), or the latest."""
-        known = self.versions()
+        stamps = self.store.stamps(self._folder)
+        known = sorted(int(n[:-5]) for n in stamps if n.endswith(".json"))
         if not known:
             raise ValueError(f"no table at {self.path}")
         if timestamp is not None:
@@ -119,7 +128,14 @@ class Table:
         version = known[-1] if version is None else version
         if version not in known:
             raise ValueError(f"version {version} does not exist")
-        return Manifest(**json.loads(self.store.read(f"{self._folder}/{version:08d}.json")))
+        # a version never changes, but a table may be dropped and made again at its place: size and time tell
+        name = f"{self._folder}/{version:08d}.json"
+        key = (self.path, name, stamps[f"{version:08d}.json"])
+        text = _manifests.pop(key, None) or self.store.read(name)
+        _manifests[key] = text
+        while len(_manifests) > CACHED_MANIFESTS:
+            _manifests.popitem(last=False)
+        return Manifest(**json.loads(text))
 
     def _commit(self, base: Manifest, operation: str, **changes) -> Manifest:
         made = replace(base, version=base.version + 1, timestamp=time.time(), operation=operation, **changes)
@@ -175,6 +191,31 @@ class Table:
         table.store.write("_versions/00000001.json", json.dumps(first.__dict__), new=True)
         return table
 
+    @classmethod
+    def adopt(cls, spark: SparkSession, path: str, source: str, properties: dict | None = None) -> Table:
+        """A table over Parquet files that stay where they are, a fragment each: nothing is copied, footers are counted.
+
+        The files must not change or go; vacuum never deletes them.  Folders that name
+        partition values are refused, as those values are not in the files.
+        """
+        table, files = cls(spark, path), Store(spark, source).files()
+        if table.versions():
+            raise ValueError(f"a table exists at {path}")
+        if any("=" in name.rpartition("/")[0].removeprefix(source) for name in files):
+            raise ValueError(f"{source} has partition folders")
+        schema = spark.read.parquet(source).schema
+        properties = dict(properties or {})
+        check_properties(schema, properties)
+        count = spark.read.schema(schema).parquet(*files).groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).count()
+        rows = {table._key(r["file"]): r["count"] for r in count.collect()}  # a row per file
+        found = [(name, size, rows.get(table._key(name), 0)) for name, size in sorted(files.items())]
+        if sum(rows.values()) != sum(n for *_, n in found) or len({table._key(name) for name in files}) < len(files):
+            raise ValueError(f"files of {source} cannot be told apart by folder and name")
+        fragments = [{"id": i, "file": name, "rows": n, "deleted": 0, "bytes": size, "created": 1} for i, (name, size, n) in enumerate(x for x in found if x[2])]
+        first = Manifest(1, json.loads(schema.json()), time.time(), "adopt", properties, fragments, next_fragment=len(fragments))
+        table.store.write("_versions/00000001.json", json.dumps(first.__dict__), new=True)
+        return table
+
     @property
     def schema(self) -> T.StructType:
         return self.manifest().struct
@@ -253,9 +294,7 @@ class Table:
         df = df.select("*", F.substring_index("_metadata.file_path", "/", -2).alias("__file"), F.col("_metadata.row_index").alias("__index")).join(known, "__file")
         df = df.withColumn("_rowaddr", F.shiftleft(F.col("_fragid").cast("long"), 32) + F.col("__index"))
         if deleted:
-            gone = self.spark.read.schema("rowaddr long").parquet(*[self.store.path(d) for d in m.deletes])
-            count = sum(f["deleted"] for f in chosen)
-            gone = F.broadcast(gone) if count <= BROADCAST_ROWS else gone
+            gone = self.deleted(m, sum(f["deleted"] for f in m.fragments))
             df = df.join(gone, F.col("_rowaddr") == F.col("rowaddr"), "left_anti")
         stable = str(m.properties.get("enable_stable_row_ids", "false")).lower() == "true"
         made = {
@@ -267,6 +306,11 @@ class Table:
         }
         return df.select(*names, *[made[h].alias(h) for h in hidden])
 
+    def deleted(self, m: Manifest, count: int) -> DataFrame:
+        """Addresses of a version's deleted rows; to be broadcast if they are at most so many."""
+        gone = self.spark.read.schema("rowaddr long").parquet(*[self.store.path(d) for d in m.deletes])
+        return F.broadcast(gone) if count <= BROADCAST_ROWS else gone
+
     def count(self, where: str | None = None, version: int | None = None) -> int:
         """From the manifest alone where there is no condition."""
         return self.manifest(version).rows if where is None else self.read(version=version, where=where).count()
@@ -289,6 +333,15 @@ class Table:
         kept = [f for f in m.fragments if picked is None or f["id"] in picked]
         return {"version": m.version, "fragments": len(m.fragments), "scanned_fragments": len(kept), "rows": m.rows, "scanned_rows": sum(f["rows"] - f["deleted"] for f in kept), "bytes": max(1, sum(f["bytes"] for f in kept))}
 
+    def statistics(self, where: str | None = None, columns: list[str] | None = None, version: int | None = None) -> dict[str, int]:
+        """Rows and bytes of a scan: those of the fragments that the condition leaves, bytes by the share of the columns' width."""
+        report = self.scan_report(where, version)
+        fields = self.manifest(report["version"]).struct.fields
+        width = lambda f: _WIDTHS.get(f.dataType.typeName(), 20)
+        whole = sum(map(width, fields))
+        share = sum(width(f) for f in fields if columns is None or f.name in columns) / whole if whole else 1
+        return {"rows": report["scanned_rows"], "bytes": max(1, int(report["bytes"] * share))}
+
     def _key(self, file: str) -> str:
         """The last two parts of a file's path as Spark names them (file names alone repeat between shards)."""
         if "=" in file:
@@ -528,7 +581,7 @@ class Table:
         """Files and folders that these versions name."""
         out: set[str] = set()
         for m in map(self.manifest, versions):
-            out |= {f["file"] for f in m.fragments} | set(m.deletes) | {i["place"] for i in m.indexes.values() if i.get("place")}
+            out |= {f["file"] for f in m.fragments} | set(m.deletes) | {i[k] for i in m.indexes.values() for k in ("place", "lengths") if i.get(k)}
         return out
 
     # -- branches and tags --------------------------------------------------------
