@@ -112,6 +112,33 @@ def test_embedding_dedup_of_a_label_in_one_direction(spark):
     assert sum(found[i] != found[n + i] for i in range(400)) <= 2
 
 
+def test_embedding_dedup_plans_by_all_rows(spark):
+    """Pairs are found in a tight part of a label, whichever ids its rows have: here those that a sample by hash left out."""
+    rng, n, dim = np.random.default_rng(6), 16_000, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    ids = spark.range(60_000).withColumn("sampled", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(n)) < 8192).collect()
+    picked = [r.id for r in ids if r.sampled][: n // 4] + [r.id for r in ids if not r.sampled][: n - n // 4]
+    vectors = unit(rng.normal(size=(n, dim)))
+    tight = np.arange(n // 4, n)
+    lean = unit(rng.normal(size=dim))
+    vectors[tight] = math.sqrt(0.8) * lean + math.sqrt(0.2) * unit(vectors[tight] - np.outer(vectors[tight] @ lean, lean))
+    ones, others = tight[:1000], tight[-1000:]
+    turn = rng.normal(size=(1000, dim))
+    turn = unit(turn - np.sum(turn * vectors[ones], 1, keepdims=True) * vectors[ones])
+    vectors[others] = 0.931 * vectors[ones] + math.sqrt(1 - 0.931**2) * turn
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(picked, vectors, strict=True)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df).collect()}
+    assert sum(found[picked[a]] != found[picked[b]] for a, b in zip(ones, others, strict=True)) <= 4
+
+
+def test_embedding_dedup_counts_neighbours_of_all_rows():
+    """A row's chance to meet another follows from the bits that no more than a window of other rows shares, copies apart."""
+    keys = np.sort(np.array([0b00, 0b01, 0b10, 0b10, 0b11]) << (embedding_dedup.BITS - 2))
+    copies, agree = np.array([1, 1, 1, 1, 5]), np.full(5, 0.5)
+    assert embedding_dedup.met_in(keys, copies, agree, [1, 2, 8]).tolist() == [[0.5, 0.5, 0.25, 0.25, 0.25], [0.5, 0.5, 0.25, 0.25, 0.5], [1, 1, 1, 1, 1]]
+    assert embedding_dedup.met_in(keys, copies, agree, [8], before=True).tolist() == [[0, 0.25, 0.5, 0.5, 0.5]]
+
+
 def test_embedding_dedup_across_partitions(spark):
     """Neighbours stay neighbours where a run of sorted rows is cut, into however small partitions."""
     vectors = [[1.0, 0.0] if i % 7 == 0 else [math.cos(i), math.sin(i)] for i in range(40)]

@@ -9,11 +9,12 @@ all pairs are then counted exactly, block against block, so the number of direct
 depends neither on the window nor on the number of passes.
 
 Labels of at most ``EXACT`` rows are compared whole, in one pass.  For the others the
-number of passes and the window follow from a sample of the label: it tells how many
-leading bits a vector must share with another until at most a window of rows shares
-them, and a pair at the threshold agrees in a bit with probability 1 - angle / pi, its
-angle seen from the mean.  Directions need not spread evenly: the more rows share their
-leading bits, the more passes or the wider windows, up to the whole label.
+number of passes and the window follow from all rows of the label: the keys of the first
+passes, sorted, tell of every vector how many leading bits another must share with it
+until at most a window of rows shares them, and a pair at the threshold agrees in a bit
+with probability 1 - angle / pi, its angle seen from the mean.  Directions need not
+spread evenly: the more rows share their leading bits, the more passes or the wider
+windows, up to the whole label.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import materialize
+from tidemark.llm._shared import SHORT_ROWS, forget, materialize
 from tidemark.llm.components import connected_components
 
 BITS = 48
@@ -35,9 +36,13 @@ WINDOW = 32
 BLOCK_ROWS = 512
 MISS = 1e-3
 EXACT = 1024
-SAMPLE = 8192
-QUERIES = 256
 TRIALS = 12
+#: Directions in which vectors at the threshold are supposed to lie, dealt by id.
+TURNS = 64
+#: Units of a component of the mean, whose sums are whole numbers and so don't depend on the order.
+UNITS = 1 << 30
+#: Probabilities of meeting are counted by their logarithm, this many steps to a factor of two, rounded down.
+STEPS, LEAST = 16, 20
 #: What sending a row through a pass costs, in comparisons.
 SEND = 512
 #: Plans of so many labels are broadcast at most.
@@ -61,9 +66,9 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return out.filter((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)).withColumn("dim", F.size(v))
 
 
-def enough_passes(met: np.ndarray, miss: float = MISS) -> int | None:
-    """Passes after which pairs that meet in a pass with probabilities ``met`` were never compared with probability ``miss``."""
-    left = lambda passes: np.mean((1 - met) ** passes)
+def enough_passes(met: np.ndarray, rows: np.ndarray, miss: float = MISS) -> int | None:
+    """Passes after which pairs of ``rows`` that meet in a pass with probabilities ``met`` were never compared with probability ``miss``."""
+    left = lambda passes: np.average((1 - met) ** passes, weights=rows)
     low, high = 0, 1
     while left(high) > miss:
         low, high = high, high * 2
@@ -75,67 +80,174 @@ def enough_passes(met: np.ndarray, miss: float = MISS) -> int | None:
     return high
 
 
-def plan_for(unit: np.ndarray, rows: int, cosine: float, window: int = WINDOW, seed: int = 17) -> tuple[int, int]:
-    """Passes and window for a label of ``rows`` vectors, of which ``unit`` is a sample (or all)."""
-    dim, rng = unit.shape[1], np.random.default_rng([seed, unit.shape[1], 1])
-    centre = unit.mean(0)
-    _, same, copies = np.unique(unit, axis=0, return_inverse=True, return_counts=True)
-    picked = rng.permutation(len(unit))[:QUERIES]
-    queries, copies = unit[picked], copies[same.ravel()[picked]]
-    turn = rng.normal(size=queries.shape)
-    turn -= np.sum(turn * queries, 1, keepdims=True) * queries
-    turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
-    one, other = queries - centre, cosine * queries + math.sqrt(max(0.0, 1 - cosine * cosine)) * turn - centre
-    norms = np.linalg.norm(one, axis=1) * np.linalg.norm(other, axis=1)
-    seen = np.where(norms > 1e-9, np.sum(one * other, 1) / np.maximum(norms, 1e-9), 0.0)
-    agree = 1 - np.arccos(np.clip(seen, -1, 1)) / math.pi
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the unit vectors of a batch by label and dimension."""
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            part = batch.filter(pa.array(dims == dim))
+            names = part.column("label").dictionary_encode()
+            at = names.indices.to_numpy()
+            order = np.argsort(at, kind="stable")
+            held, first = np.unique(at[order], return_index=True)
+            units = np.rint(unit_rows(part.column("embedding"))[order] * UNITS).astype(np.int64)
+            sums = np.add.reduceat(units, first, axis=0)
+            counts = np.diff([*first, len(at)])
+            yield pa.RecordBatch.from_arrays(
+                [names.dictionary.take(pa.array(held)), pa.array(np.full(len(held), dim), pa.int32()), pa.array(counts, pa.int64()), pa.array(sums.tolist(), pa.list_(pa.int64()))],
+                names=["label", "dim", "vectors", "sums"],
+            )
 
-    windows = [window]
-    while windows[-1] * 2 < rows:
-        windows.append(windows[-1] * 2)
-    met = np.zeros((len(windows), len(queries)))
-    for _ in range(TRIALS):
-        keys = np.sort(_keys_of(unit - centre, planes := rng.normal(size=(dim, BITS))))
-        own, near = _keys_of(one, planes), np.zeros((BITS + 1, len(queries)))
-        for level in range(BITS + 1):
-            part, mine = keys >> (BITS - level), own >> (BITS - level)
-            others = np.maximum(0, np.searchsorted(part, mine, "right") - np.searchsorted(part, mine, "left") - copies)
-            near[level] = others if rows <= len(unit) else (others + 1 + 2 * np.sqrt(others + 1)) * rows / len(unit)
+
+def _centres(distinct: DataFrame) -> DataFrame:
+    """The mean of the different vectors of each label and dimension."""
+    parts = distinct.select("label", "dim", "embedding").mapInArrow(_sums, "label string, dim int, vectors long, sums array<long>")
+    places = parts.select("label", "dim", "vectors", F.posexplode("sums").alias("place", "units"))
+    means = places.groupBy("label", "dim", "place").agg((F.sum("units") / F.sum("vectors") / UNITS).alias("mean"))
+    listed = means.groupBy("label", "dim").agg(F.sort_array(F.collect_list(F.struct("place", "mean"))).alias("listed"))
+    return listed.select("label", "dim", F.transform("listed", lambda x: x["mean"]).alias("centre"))
+
+
+SURVEY = "label string, dim int, pass int, key long, vec_id long, copies long, rows int, agree double"
+
+
+def _survey(cosine: float, seed: int) -> Callable:
+    """Keys of the first passes, and how likely a vector and another at the threshold agree in a bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                unit, centre = unit_rows(part.column("embedding")), part.column("centre").flatten().to_numpy().reshape(-1, dim)
+                turn = np.random.default_rng([seed, int(dim)]).normal(size=(TURNS, dim))[part.column("vec_id").to_numpy() % TURNS]
+                turn -= np.sum(turn * unit, 1, keepdims=True) * unit
+                turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
+                one, other = unit - centre, cosine * unit + math.sqrt(max(0.0, 1 - cosine * cosine)) * turn - centre
+                norms = np.linalg.norm(one, axis=1) * np.linalg.norm(other, axis=1)
+                seen = np.where(norms > 1e-9, np.sum(one * other, 1) / np.maximum(norms, 1e-9), 0.0)
+                agree = 1 - np.arccos(np.clip(seen, -1, 1)) / math.pi
+                for p in range(TRIALS):
+                    keys = _keys_of(one, _planes(seed, int(dim), p))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("label"), part.column("dim"), pa.array(np.full(len(part), p), pa.int32()), pa.array(keys), *(part.column(c) for c in ("vec_id", "copies", "rows")), pa.array(agree)],
+                        names=["label", "dim", "pass", "key", "vec_id", "copies", "rows", "agree"],
+                    )
+
+    return run
+
+
+def met_in(keys: np.ndarray, copies: np.ndarray, agree: np.ndarray, windows: list[int], before: bool = False, behind: bool = False) -> np.ndarray:
+    """Probabilities (a row for each window) that a pass compares vectors with another at the threshold.
+
+    ``keys`` are sorted.  With ``before`` or ``behind`` the run goes on there, in another
+    partition: rows that share bits with that end then count as too many for any window.
+    """
+    met, open_ = np.zeros((len(windows), len(keys))), np.ones((len(windows), len(keys)), bool)
+    for level in range(BITS + 1):
+        part = keys >> (BITS - level)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sizes = np.add.reduceat(copies, first).astype(np.float64)
+        sizes[0] = math.inf if before else sizes[0]
+        sizes[-1] = math.inf if behind else sizes[-1]
+        others = np.repeat(sizes, np.diff([*first, len(keys)])) - copies
         for i, w in enumerate(windows):
-            fits = near <= w
-            met[i] += np.where(fits.any(0), agree ** fits.argmax(0), 0.0) / TRIALS
+            fits = open_[i] & (others <= w)
+            met[i, fits] = agree[fits] ** level
+            open_[i] &= ~fits
+        if not open_.any():
+            break
+    return met
+
+
+def _met(windows: list[int]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := [b for b in batches if b.num_rows]):
+            return
+        table = pa.Table.from_batches(held)
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in (table.column(c).to_numpy() for c in ("label", "dim", "pass"))], axis=0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(table)], strict=True):
+            run = table.slice(a, b - a)
+            keys, copies, agree = (run.column(c).to_numpy() for c in ("key", "copies", "agree"))
+            cut = copies.sum() < run.column("rows")[0].as_py()
+            met = met_in(keys, copies, agree, windows, cut and a == 0, cut and b == len(table))
+            out = run.select(["label", "dim", "vec_id", "copies"]).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array(m) for m in met)], names=[*out.schema.names, *(f"met{i}" for i in range(len(met)))])
+
+    return run
+
+
+def plan_for(met: list[np.ndarray], counts: list[np.ndarray], rows: int, window: int = WINDOW) -> tuple[int, int]:
+    """Passes and window for a label of ``rows`` vectors: ``counts`` of them meet another in a pass with probability ``met``, for windows from ``window`` on, doubled each time."""
     plans = [(2 * rows + SEND, 1, rows)]  # all pairs of the label, which one task compares
-    plans += [(n * (w + SEND), n, w) for w, m in zip(windows, met, strict=True) if (n := enough_passes(m)) is not None]
+    for i, (m, c) in enumerate(zip(met, counts, strict=True)):
+        if (i == 0 or window << i < rows) and (n := enough_passes(m, c)) is not None:
+            plans.append((n * ((window << i) + SEND), n, window << i))
     return min(plans)[1:]
 
 
-PLAN = T.StructType().add("label", "string").add("dim", "integer").add("passes", "integer").add("window", "integer").add("centre", T.ArrayType(T.DoubleType()))
+PLAN = "label string, dim int, passes int, window int"
 
 
-def _plan(cosine: float, window: int, seed: int, passes: int | None) -> Callable:
+def _plan(window: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        unit = unit_rows(table.column("embedding").slice(0, 2 * SAMPLE))
-        told = (passes, window) if passes else plan_for(unit, table.column("rows")[0].as_py(), cosine, window, seed)
-        return pa.Table.from_pylist([{"label": key[0].as_py(), "dim": key[1].as_py(), "passes": told[0], "window": told[1], "centre": unit.mean(0).tolist()}], PLAN_SCHEMA)
+        place, step, count = (table.column(c).to_numpy() for c in ("place", "step", "count"))
+        met = np.where(step < STEPS * LEAST, 2.0 ** (-step / STEPS), 0.0)
+        each = [place == i for i in range(place.max() + 1)]
+        told = plan_for([met[e] for e in each], [count[e] for e in each], int(count[each[0]].sum()), window)
+        return pa.Table.from_pylist([{"label": key[0].as_py(), "dim": key[1].as_py(), "passes": told[0], "window": told[1]}], PLAN_SCHEMA)
 
     return run
 
 
-PLAN_SCHEMA = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("passes", pa.int32()), ("window", pa.int32()), ("centre", pa.list_(pa.float64()))])
+PLAN_SCHEMA = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("passes", pa.int32()), ("window", pa.int32())])
+
+
+def _plans(told: DataFrame, largest: int, cosine: float, window: int, seed: int) -> DataFrame:
+    """Passes and window of each label and dimension from all its vectors; only counts by probability meet in one task."""
+    windows = [window]
+    while windows[-1] * 2 < largest:
+        windows.append(windows[-1] * 2)
+    n = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["pass", "label", "dim", "key", "vec_id"]
+    dealt = told.mapInArrow(_survey(cosine, seed), SURVEY).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    names = [f"met{i}" for i in range(len(windows))]
+    met = dealt.mapInArrow(_met(windows), "label string, dim int, vec_id long, copies long, " + ", ".join(f"{m} double" for m in names))
+    met = met.groupBy("label", "dim", "vec_id").agg((F.sum("copies") / TRIALS).cast("long").alias("copies"), *(F.avg(m).alias(m) for m in names))
+    each = met.select("label", "dim", "copies", F.posexplode(F.array(*names)).alias("place", "met"))
+    last = F.lit(STEPS * LEAST)
+    step = F.when(F.col("met") > 0, F.least(last, F.ceil(-F.log2("met") * STEPS))).otherwise(last).cast("int")
+    counts = each.groupBy("label", "dim", "place", step.alias("step")).agg(F.sum("copies").alias("count"))
+    return counts.groupBy("label", "dim").applyInArrow(_plan(window), PLAN)
 
 
 def _planned(valid: DataFrame, cosine: float, window: int, seed: int, passes: int | None) -> DataFrame:
     """``valid`` with the ``passes``, ``window`` and ``centre`` of each row's label and dimension."""
+    spread = lambda small: F.broadcast(small) if small.count() <= PLANS else small
     sizes = materialize(valid.groupBy("label", "dim").agg(F.count("*").cast("int").alias("rows")), "sizes")
     large = sizes if passes else sizes.filter(F.col("rows") > EXACT)
-    spread = lambda small: F.broadcast(small) if small.count() <= PLANS else small
-    sample = valid.join(spread(large), ["label", "dim"]).filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col("rows")) < SAMPLE)
-    plans = materialize(sample.select("label", "dim", "rows", "embedding").groupBy("label", "dim").applyInArrow(_plan(cosine, window, seed, passes), PLAN), "plans")
-    # small labels, and those of which the sample holds nothing, as their rows share few ids, are compared whole
-    plans = sizes.join(plans, ["label", "dim"], "left").select("label", "dim", F.coalesce("passes", F.lit(1)).alias("passes"), F.coalesce("window", "rows").alias("window"), "centre")
+    largest = large.agg(F.max("rows")).first()[0]
+    if largest is None:  # small labels are compared whole
+        plans = sizes.select("label", "dim", F.lit(1).alias("passes"), F.col("rows").alias("window"), F.lit(None).cast("array<double>").alias("centre"))
+        return valid.join(spread(plans), ["label", "dim"])
+    among = valid.join(spread(large), ["label", "dim"]).groupBy("label", "dim", "rows", "embedding")
+    distinct = materialize(among.agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "distinct", SHORT_ROWS)
+    centres = materialize(_centres(distinct), "centres", SHORT_ROWS)
+    if passes:
+        found = centres.withColumns({"passes": F.lit(passes), "window": F.lit(window)})
+    else:
+        plans = materialize(_plans(distinct.join(spread(centres), ["label", "dim"]), largest, cosine, window, seed), "plans", SHORT_ROWS)
+        found = centres.join(plans, ["label", "dim"])
+    forget(distinct)
+    plans = sizes.join(found, ["label", "dim"], "left").select("label", "dim", F.coalesce("passes", F.lit(1)).alias("passes"), F.coalesce("window", "rows").alias("window"), "centre")
     return valid.join(spread(materialize(plans, "plans")), ["label", "dim"])
 
 
+def _planes(seed: int, dim: int, number: int) -> np.ndarray:
+    """The directions of a pass."""
+    return np.random.default_rng([seed, dim, number]).normal(size=(dim, BITS))
+
+
 def _keys_of(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return (vectors @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
@@ -152,7 +264,7 @@ def _sign(seed: int) -> Callable:
                 passes = part.column("passes").to_numpy()
                 for p in range(passes.max()):
                     rows = np.flatnonzero(passes > p)
-                    keys = _keys_of(unit[rows], np.random.default_rng([seed, int(dim), p]).normal(size=(int(dim), BITS)))
+                    keys = _keys_of(unit[rows], _planes(seed, int(dim), p))
                     of = part.take(pa.array(rows)) if len(rows) < len(part) else part
                     yield pa.RecordBatch.from_arrays(
                         [of.column("label"), of.column("dim"), pa.array(np.full(len(rows), p), pa.int32()), pa.array(keys), of.column("vec_id"), of.column("window"), of.column("embedding")],
