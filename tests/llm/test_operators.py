@@ -1,3 +1,4 @@
+import glob
 import math
 import random
 import re
@@ -6,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -197,6 +199,31 @@ def test_mixing_awkward(spark):
     assert all(len(WORD.findall(r.text)) == r.words for r in ordered.collect())
 
 
+def test_mix_query_writes_the_training_order(spark, monkeypatch):
+    """The query's mix is written by ranges of positions, sorted, every round of every document; its digest comes from there."""
+    written, write = [], _shared.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name, *a: written.append(write(df, name, *a)) or written[-1], raising=False)
+    got = queries.op2_mix_sources(spark, SF)
+    assert written
+    parts = [pq.read_table(f).to_pylist() for f in sorted(glob.glob(f"{written[-1]._written.removeprefix('file:')}/*.parquet"))]
+    order = [r for part in parts for r in part if r["epoch"] is not None]
+    assert len(parts) > 1 and [r["position"] for r in order] == sorted(r["position"] for r in order)
+    assert all(len(WORD.findall(r["text"])) == r["words"] for r in order)
+    texts = {r.doc_id: len(WORD.findall(r.text or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    taken, first = dict.fromkeys(texts, 0), dict.fromkeys(texts)
+    for r in order:
+        taken[r["doc_id"]] += r["words"]
+        first[r["doc_id"]] = r["position"] if first[r["doc_id"]] is None else first[r["doc_id"]]
+    assert max(r["epoch"] for r in order) > 0 and any(t == 0 for t in taken.values())
+    assert {r.doc_id: (r.size, r.taken, r.position) for r in got.collect()} == {i: (texts[i], taken[i], first[i]) for i in texts}
+
+
+def test_mix_digest_of_a_written_order_awkward(spark):
+    docs, columns = documents(spark), ("doc_id", "size", "source_size", "target", "taken", "position")
+    assert rows(mixing.read_digest(mixing.write_order(docs)), *columns) == rows(mixing.curriculum(docs), *columns)
+    assert mixing.read_digest(mixing.write_order(docs.limit(0))).count() == 0
+
+
 def test_position_inverts_demand(spark):
     df = spark.range(11).select((F.col("id") / 10).alias("u"))
     for a in (-0.5, 0.0, 0.5):

@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm._shared import forget, materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Change of the rate from the middle to the end of training, by the weight's place.
@@ -117,6 +119,27 @@ def position_of(done: Column, target: Column, slope: Column) -> Column:
     return F.when(slope == 0, u).otherwise((F.sqrt(rise * rise + 4 * slope * u) - rise) / (2 * slope))
 
 
+def _rounds(mixed: DataFrame, partitions: int | None, never: bool) -> DataFrame:
+    """The rows of ``training_order`` with all columns of ``mixed``, a result of ``curriculum``.
+
+    With ``never`` documents of which nothing is taken have one row too, without text,
+    epoch and position, behind the others of a partition.
+    """
+    size, position = F.col("size"), F.col("position")
+    times = F.ceil(F.col("taken") / size).cast("int")
+    epochs = F.when(F.col("taken") > 0, F.sequence(F.lit(0), times - 1))
+    out = mixed.withColumn("epoch", F.explode_outer(epochs)) if never else mixed.filter("taken > 0").withColumn("epoch", F.explode(epochs))
+    out = out.withColumn("words", F.when(F.col("taken") > 0, F.least(size, F.col("taken") - F.col("epoch") * size)).otherwise(F.lit(0).cast("long")))
+    done = F.col("epoch") * F.col("source_size") + F.col("__before")
+    out = out.withColumn("position", F.when(F.col("taken") > 0, position_of(done, F.col("target"), F.col("__slope"))))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    out = out.withColumn("text", F.when(F.col("taken") > 0, F.when(F.col("words") < size, cut).otherwise(F.col("text"))))
+    n = partitions or int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # words are spread evenly over the positions, so equal ranges hold equal shares: no sampling pass
+    place = F.when(position.isNotNull(), F.least(F.lit(n - 1), F.floor(position * n).cast("int"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    return out.repartitionById(n, place).sortWithinPartitions(F.asc_nulls_last("position"), "doc_id", "epoch")
+
+
 def training_order(docs: DataFrame, partitions: int | None = None, **mix) -> DataFrame:
     """The documents of the mix in training order, a row for each time one is taken.
 
@@ -124,18 +147,27 @@ def training_order(docs: DataFrame, partitions: int | None = None, **mix) -> Dat
     ``position``; range-partitioned and sorted by position.  A document that is taken
     in part keeps its first ``words`` words, joined by single spaces.
     """
-    mixed = curriculum(docs, **mix)
-    kept = [c for c in mixed.columns if c in docs.columns]
-    size = F.col("size")
-    times = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / size).cast("int")).otherwise(0)
-    out = mixed.filter("taken > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    out = out.withColumn("words", F.least(size, F.col("taken") - F.col("epoch") * size))
-    done = F.col("epoch") * F.col("source_size") + F.col("__before")
-    out = out.withColumn("position", position_of(done, F.col("target"), F.col("__slope")))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("words") < size, cut).otherwise(F.col("text")))
-    out = out.select(*[F.col(f"`{c}`") for c in kept], "epoch", "words", "position")
-    n = partitions or int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # words are spread evenly over the positions, so equal ranges hold equal shares: no sampling pass
-    place = F.least(F.lit(n - 1), F.floor(F.col("position") * n).cast("int"))
-    return out.repartitionById(n, place).sortWithinPartitions("position", "doc_id", "epoch")
+    ordered = _rounds(curriculum(docs, **mix), partitions, False)
+    kept = [c for c in ordered.columns if c in docs.columns and c not in ("epoch", "words", "position")]
+    return ordered.select(*[F.col(f"`{c}`") for c in kept], "epoch", "words", "position")
+
+
+def write_order(docs: DataFrame, partitions: int | None = None, **mix) -> DataFrame:
+    """The mix written to the shared folder in training order, texts included, and read back.
+
+    Rows as of ``training_order`` (each file sorted by position, the files one range
+    after another), with all columns of ``curriculum``; documents of which nothing is
+    taken have a row without text, epoch and position.
+    """
+    mixed = materialize(curriculum(docs, **mix), "mix")  # so texts are shuffled once at a time
+    order = materialize(_rounds(mixed, partitions, True), "order")
+    forget(mixed)
+    return order
+
+
+def read_digest(order: DataFrame) -> DataFrame:
+    """Per document what a written order holds of it: all words taken, and the position of its first ones."""
+    of = ["doc_id", "source", "size", "source_size", "target", "__before"]
+    taken = order.filter("epoch is not null").groupBy(*of).agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
+    never = order.filter("epoch is null").select(*of, F.col("words").alias("taken"), "position")
+    return taken.union(never).select("doc_id", "size", "source_size", "target", "taken", "position")

@@ -18,10 +18,9 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.mixing import curriculum
+    from tidemark.llm.mixing import read_digest, write_order
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return curriculum(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return read_digest(write_order(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
