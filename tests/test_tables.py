@@ -11,6 +11,8 @@ from tidemark.operators import indexes, prune, search
 from tidemark.operators.joins import table_join
 from tidemark.plans.dialect import Dialect
 from tidemark.sources.catalog import Catalog
+from tidemark.sources import table
+from tidemark.sources.format import register
 from tidemark.sources.scratch import scratch
 from tidemark.sources.store import Conflict
 from tidemark.sources.table import Table
@@ -538,3 +540,55 @@ def test_format_reads_versions_types_and_null_columns(spark, tmp_path):
     for bad in ({"version": 77}, {"nonsense": 1}):
         with pytest.raises(Exception, match="version 77|unknown options"):
             read(**bad)
+
+
+# -- tables that are larger than a task
+
+
+def test_addresses_and_fragments_do_not_depend_on_the_size(spark, monkeypatch):
+    """Files of few rows and bytes stand for a large table: addresses still follow the key in one fragment, and six fragments stay six."""
+    import duckdb
+
+    from tidemark.plans import tables
+
+    monkeypatch.setattr(table, "TASK_BYTES", 4 << 10)
+    monkeypatch.setattr(table.WriteOptions.__init__, "__defaults__", tuple(100 if x == 1_000_000 else x for x in table.WriteOptions.__init__.__defaults__))  # rows of a file
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    for name in ("row_address_pruning",):
+        want = con.sql(tables.SQL[name])
+        assert values(tables.QUERIES[name](spark, sf), *want.columns) == sorted(want.fetchall()), name
+
+
+def in_files(spark, rows=30, files=5):
+    """x in order as two fragments of several files."""
+    df = spark.range(rows).select(F.col("id").alias("x"), (F.col("id") * 2).alias("y"))
+    t = Table.create_as(spark, scratch(spark, "pieces"), df.repartitionByRange(files, "x").sortWithinPartitions("x"), fragment_count=2)
+    assert [len(f.get("files", [1])) for f in t.manifest().fragments] == [2, 3] and t.count() == rows
+    return t
+
+
+def test_fragments_of_several_files(spark):
+    t = in_files(spark)
+    half = t.manifest().fragments[0]["rows"]
+    address = lambda x: x if x < half else (1 << 32) + x - half
+    assert values(t.read(hidden=("_rowaddr",)), "x", "_rowaddr") == [(x, address(x)) for x in range(30)]
+    assert values(t.read(where=f"_rowaddr IN (3, {address(29)})"), "x") == [(3,), (29,)]
+    view = t.read(hidden=("_rowaddr", "_fragid")).filter("x >= 5").select("_rowaddr", "_fragid", (F.col("x") + 1).alias("z"))
+    t.add_columns_from(view)
+    assert values(t.read(hidden=("_rowaddr",)), "x", "_rowaddr", F.coalesce("z", F.lit(0))) == [(x, address(x), x + 1 if x >= 5 else 0) for x in range(30)]
+    t.delete("x % 3 = 0 OR x < 8")
+    rest = [x for x in range(8, 30) if x % 3]
+    assert values(t.read(), "x") == [(x,) for x in rest] and t.count() == len(rest)
+    register(spark)
+    assert values(spark.read.format("tidemark").load(t.path), "x", "y") == [(x, 2 * x) for x in rest]
+    t.update_columns_from(t.read(hidden=("_rowaddr", "_fragid")).select("_rowaddr", "_fragid", F.lit(-1).alias("y")))
+    found = values(t.read(hidden=("_rowaddr",)), "_rowaddr", "x", "y")
+    assert [(x, y) for _, x, y in found] == [(x, -1) for x in rest]
+    for f in t.manifest().fragments:  # the addresses of a fragment go on without a gap
+        assert [a - (f["id"] << 32) for a, *_ in found if a >> 32 == f["id"]] == list(range(f["rows"]))
+    t.vacuum(delete_unverified=True)
+    assert values(t.read(), "x") == [(x,) for x in rest]
+    t.optimize(target_rows_per_fragment=1000)
+    assert values(t.read(), "x") == [(x,) for x in rest] and len(t.manifest().fragments) == 1

@@ -13,7 +13,7 @@ from tidemark.operators.joins import fragment_join, shard_join, table_join
 from tidemark.plans.dialect import Dialect
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.scratch import scratch
-from tidemark.sources.table import Table
+from tidemark.sources.table import Table, input_bytes, tasks_for
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,6 +41,13 @@ def _table(spark, df: DataFrame, parts: int = 4, key: str | None = None, **kw) -
     return Table.create_as(spark, scratch(spark, "table"), df, **kw)
 
 
+def _in_order(spark, df: DataFrame, key: str) -> Table:
+    """A table whose addresses follow the key's order from 0: one fragment, of as many files as the rows need."""
+    order = F.asc_nulls_last(key)
+    rows = df.repartitionByRange(tasks_for(input_bytes(df)), order).sortWithinPartitions(order)
+    return Table.create_as(spark, scratch(spark, "table"), rows, fragment_count=1)
+
+
 Q1 = """
 SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
  CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS sum_disc_price, CAST(sum(CAST(l_extendedprice * (1 - l_discount) * (1 + l_tax) AS DECIMAL(18, 6))) AS DOUBLE) AS sum_charge,
@@ -178,8 +185,7 @@ def zonemap_pruning(spark, t):
 
 @_register("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS a FROM orders) t WHERE a IN (3, 5, 70)")
 def row_address_pruning(spark, t):
-    rows = t("orders").select("o_orderkey").coalesce(1).sortWithinPartitions("o_orderkey")
-    table = Table.create_as(spark, scratch(spark, "table"), rows)
+    table = _in_order(spark, t("orders").select("o_orderkey"), "o_orderkey")
     return table.read(where="_rowaddr IN (3, 5, 70, 4294967296)")
 
 

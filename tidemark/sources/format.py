@@ -1,6 +1,6 @@
 """The short name ``tidemark`` for ``spark.read.format``: a Python data source over a table's fragments.
 
-A task reads one fragment in Arrow batches and leaves out its deleted rows.  Spark
+A task reads one file of a fragment in Arrow batches and leaves out its deleted rows.  Spark
 gives Python sources neither columns nor filters to push, so ``Table.read``, a native
 Parquet scan, is the way for large queries; this one is for tools that know formats only.
 Files are opened through pyarrow's file systems (local, HDFS, S3, GCS).
@@ -15,6 +15,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidemark.sources.table import pieces
+
 OPTIONS = ("path", "version", "batch_size")
 
 
@@ -48,6 +50,8 @@ def _manifest(options: dict) -> dict:
 class Fragment(InputPartition):
     id: int
     file: str
+    first: int
+    rows: int
     deletes: list[str]
 
 
@@ -79,7 +83,7 @@ class FragmentReader(DataSourceReader):
 
     def partitions(self) -> list[Fragment]:
         deletes = self.manifest["deletes"]
-        return [Fragment(f["id"], f["file"], deletes if f["deleted"] else []) for f in self.manifest["fragments"]]
+        return [Fragment(f["id"], name, first, rows, deletes if f["deleted"] else []) for f in self.manifest["fragments"] for name, first, rows in pieces(f)]
 
     def read(self, fragment: Fragment):
         import numpy as np
@@ -91,9 +95,9 @@ class FragmentReader(DataSourceReader):
         at = lambda name: name if "://" in name or name.startswith(("/", "file:")) else f"{self.root}/{name}"
         target = to_arrow_schema(self.wanted)
         gone = np.empty(0, np.int64)
-        first = fragment.id << 32
+        first = (fragment.id << 32) + fragment.first
         if fragment.deletes:
-            within = (ds.field("rowaddr") >= first) & (ds.field("rowaddr") < first + (1 << 32))
+            within = (ds.field("rowaddr") >= first) & (ds.field("rowaddr") < first + fragment.rows)
             places = [_open(at(d)) for d in fragment.deletes]
             gone = np.concatenate([ds.dataset(root, filesystem=store, format="parquet").to_table(filter=within)["rowaddr"].to_numpy() for store, root in places]) - first
         store, name = _open(at(fragment.file))

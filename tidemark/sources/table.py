@@ -2,11 +2,12 @@
 
     <table>/_versions/00000001.json    schema, properties, fragments, indexes, sharding, key
     <table>/_refs/00000001.json        branches and tags; the last counts
-    <table>/data/<commit>/*.parquet    a fragment per file
+    <table>/data/<commit>/*.parquet    a fragment per file, or several files in order
     <table>/deletes/<commit>           addresses of deleted rows
     <table>/index/<name>/<commit>      index data
 
-A row's address is ``fragment << 32 | row index``.  Reading is a plain Parquet scan of
+A row's address is ``fragment << 32 | row index``; in a fragment of several files
+(``files`` in its entry), the index goes on from file to file.  Reading is a plain Parquet scan of
 the manifest's files, so projection and filters reach the files; addresses and deletions
 are joined only where a query asks for them or rows were deleted.
 """
@@ -14,6 +15,7 @@ are joined only where a query asks for them or rows were deleted.
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections import OrderedDict
@@ -31,6 +33,8 @@ STORED = T.StructType().add("__rowid", "long").add("__created", "long").add("__u
 #: Deleted addresses and fragment lists up to this many rows are broadcast.
 BROADCAST_ROWS = 1_000_000
 MAX_ROWS_PER_FILE = 1_000_000
+#: Bytes of files for one task of a shuffle of whole rows, which take several times as much there and in a sort.
+TASK_BYTES = 32 << 20
 #: Days after which a file that no version names is taken for the rest of a failed write.
 UNVERIFIED_DAYS = 7
 #: Manifests kept in memory by this process, the least used go first.
@@ -73,6 +77,8 @@ class WriteOptions:
     use_large_var_types: bool = False
     max_batch_bytes: int = 256 << 20
     blob_pack_file_size_threshold: int | None = None
+    #: The files, in the order of the rows' partitions, make up so many fragments (fewer if the files are fewer); else each is one.
+    fragment_count: int | None = None
 
 
 @dataclass
@@ -98,6 +104,46 @@ class Manifest:
         return sum(f["rows"] - f["deleted"] for f in self.fragments)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and rows that a DataFrame reads, as the plan knows them; what it doesn't know counts as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def tasks_for(size: int) -> int:
+    """Tasks among which so many bytes of files are dealt, that each stays small however many there are."""
+    return max(1, -(-size // TASK_BYTES))
+
+
+def pieces(fragment: dict) -> list[tuple[str, int, int]]:
+    """A fragment's files, each with the index of its first row in the fragment and its rows."""
+    out, first = [], 0
+    for name, rows in fragment.get("files") or [(fragment["file"], fragment["rows"])]:
+        out.append((name, first, rows))
+        first += rows
+    return out
+
+
+def _place(name: str) -> tuple[int, int, str]:
+    """Orders the files of a write as the rows lay in its partitions."""
+    found = re.search(r"part-(\d+)-.*?(?:[-.]c(\d+))?[.]", name.rpartition("/")[2])
+    return (int(found[1]), int(found[2] or 0), name) if found else (0, 0, name)
+
+
+def _grouped(files: list[dict], count: int) -> list[dict]:
+    """Neighbouring files as ``count`` fragments of about as many files each."""
+    count = min(count, len(files))
+    out = []
+    for i in range(count):
+        own = files[i * len(files) // count : (i + 1) * len(files) // count]
+        rows = sum(f["rows"] for f in own)
+        if rows > 1 << 32:
+            raise ValueError("a fragment has more rows than addresses")
+        out.append({"files": [[f["file"], f["rows"]] for f in own], "rows": rows, "deleted": 0, "bytes": sum(f["bytes"] for f in own)} if len(own) > 1 else own[0])
+    return out
+
+
 class Table:
     def __init__(self, spark: SparkSession, path: str, branch: str | None = None):
         self.spark, self.path, self.branch = spark, path.rstrip("/"), branch
@@ -286,13 +332,14 @@ class Table:
         deleted = any(f["deleted"] for f in chosen)
         plain = not hidden and not deleted
         schema = m.struct if plain else T.StructType([*m.struct.fields, *STORED.fields])
-        df = self.spark.read.schema(schema).parquet(*[self.store.path(f["file"]) for f in chosen])
+        files = [(name, f["id"], f["created"], first) for f in chosen for name, first, _ in pieces(f)]
+        df = self.spark.read.schema(schema).parquet(*[self.store.path(f[0]) for f in files])
         if plain:
             return df
-        known = self.spark.createDataFrame([(self._key(f["file"]), f["id"], f["created"]) for f in chosen], "__file string, _fragid int, __version long")
-        known = F.broadcast(known) if len(chosen) <= BROADCAST_ROWS else known
+        known = self.spark.createDataFrame([(self._key(name), *rest) for name, *rest in files], "__file string, _fragid int, __version long, __first long")
+        known = F.broadcast(known) if len(files) <= BROADCAST_ROWS else known
         df = df.select("*", F.substring_index("_metadata.file_path", "/", -2).alias("__file"), F.col("_metadata.row_index").alias("__index")).join(known, "__file")
-        df = df.withColumn("_rowaddr", F.shiftleft(F.col("_fragid").cast("long"), 32) + F.col("__index"))
+        df = df.withColumn("_rowaddr", F.shiftleft(F.col("_fragid").cast("long"), 32) + F.col("__first") + F.col("__index"))
         if deleted:
             gone = self.deleted(m, sum(f["deleted"] for f in m.fragments))
             df = df.join(gone, F.col("_rowaddr") == F.col("rowaddr"), "left_anti")
@@ -300,6 +347,7 @@ class Table:
         made = {
             "_rowaddr": F.col("_rowaddr"),
             "_fragid": F.col("_fragid"),
+            "__first": F.col("__first"),
             "_rowid": F.coalesce("__rowid", "_rowaddr") if stable else F.col("_rowaddr"),
             "_row_created_at_version": F.coalesce("__created", "__version"),
             "_row_last_updated_at_version": F.coalesce("__updated", "__version"),
@@ -355,6 +403,8 @@ class Table:
         opts = WriteOptions(**options)
         df = df if stored else check_rows(df, m.struct, m.properties)
         shard = m.sharding
+        if opts.fragment_count is not None and (opts.fragment_count < 1 or shard):
+            raise ValueError("fragment_count must be positive, and a sharded table has a fragment per file")
         if shard:
             from tidemark.functions.scalar import bucket
 
@@ -367,16 +417,20 @@ class Table:
         files = {k: v for k, v in self.store.walk(place).items() if k.endswith(".parquet")}
         if not files:
             return []
-        read = self.spark.read.schema(T.StructType([*m.struct.fields, *STORED.fields])).parquet(*[self.store.path(k) for k in files])
-        rows = {r[0]: r[1] for r in read.groupBy(F.substring_index("_metadata.file_path", "/", -2)).count().collect()}
+        rows = self._rows_of(m.struct, files)
         out = []
-        for name, size in sorted(files.items()):
+        for name, size in sorted(files.items(), key=lambda x: (x[0].rpartition("/")[0], _place(x[0]))):
             if n := rows.get(self._key(name), 0):
                 entry = {"file": name, "rows": n, "deleted": 0, "bytes": size}
                 if shard:
                     entry["shard"] = name.split("__shard=")[1].split("/")[0]
                 out.append(entry)
-        return out
+        return _grouped(out, opts.fragment_count) if opts.fragment_count else out
+
+    def _rows_of(self, struct: T.StructType, files) -> dict[str, int]:
+        """Rows of written files, by key."""
+        read = self.spark.read.schema(T.StructType([*struct.fields, *STORED.fields])).parquet(*[self.store.path(k) for k in files])
+        return {r[0]: r[1] for r in read.groupBy(F.substring_index("_metadata.file_path", "/", -2)).count().collect()}
 
     def append(self, df: DataFrame, **options) -> Manifest:
         base = self.manifest()
@@ -481,32 +535,40 @@ class Table:
         if view.filter("_rowaddr is not null").groupBy("_rowaddr").count().filter("count > 1").limit(1).count():
             raise ValueError("a row address stands in the view more than once")
         own = view.select(F.col("_rowaddr").alias("__addr"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__new_{c}") for c in columns])
-        rows = self._scan(base, set(HIDDEN))
+        rows = self._scan(base, {*HIDDEN, "__first"})
         joined = rows.join(own, rows["_rowaddr"] == own["__addr"], "left")
         stored = [F.col("_rowid").alias("__rowid") if self.stable_ids else F.lit(None).cast("long").alias("__rowid"), F.col("_row_created_at_version").alias("__created"), F.col("_row_last_updated_at_version").alias("__updated")]
-        new = joined.select(*[fill(f.name) if f.name in columns else F.col(f.name) for f in struct], *stored, "_rowaddr", "_fragid")
-        # fragments keep their ids and row order, so addresses stay
+        new = joined.select(*[fill(f.name) if f.name in columns else F.col(f.name) for f in struct], *stored, "_rowaddr", F.concat_ws("-", "_fragid", "__first").alias("__frag"))
+        # fragments keep their ids, files and row order, so addresses stay
         live = [f for f in base.fragments]
+        parts = sum(len(pieces(f)) for f in live)
         place = f"data/{uuid.uuid4().hex}"
-        new.repartition(max(1, len(live)), "_fragid").sortWithinPartitions("_fragid", "_rowaddr").withColumn("__frag", F.col("_fragid")).drop("_fragid", "_rowaddr").write.partitionBy("__frag").parquet(self.store.path(place))
-        files: dict[int, list[tuple[str, int]]] = {}
-        for name, size in sorted(self.store.walk(place).items()):
+        new.repartition(max(1, parts), "__frag").sortWithinPartitions("__frag", "_rowaddr").drop("_rowaddr").write.partitionBy("__frag").parquet(self.store.path(place))
+        files: dict[int, dict[int, tuple[str, int]]] = {}
+        for name, size in self.store.walk(place).items():
             if name.endswith(".parquet"):
-                files.setdefault(int(name.split("__frag=")[1].split("/")[0]), []).append((name, size))
-        if any(len(x) > 1 for x in files.values()):
-            raise RuntimeError("a fragment was written as several files")
+                of, first = map(int, name.split("__frag=")[1].split("/")[0].split("-"))
+                if files.setdefault(of, {}).setdefault(first, (name, size)) != (name, size):
+                    raise RuntimeError("a file was written as several files")
+        worn = [x[0] for f in live if f["deleted"] and f.get("files") for x in files.get(f["id"], {}).values()]
+        left = self._rows_of(struct, worn) if worn else {}
         # rows deleted before are left out of the new files: addresses of the rest move, so such fragments get new ids
         made, fresh, next_id = [], [], base.next_fragment
         for f in live:
             if f["id"] not in files:
                 continue
-            name, size = files[f["id"]][0]
-            rows_left = f["rows"] - f["deleted"]
+            own = files[f["id"]]
+            entry = dict(f, bytes=sum(size for _, size in own.values()), rows=f["rows"] - f["deleted"], deleted=0)
+            if f.get("files"):
+                rows_of = {first: n for _, first, n in pieces(f)}
+                entry["files"] = [[name, left[self._key(name)] if f["deleted"] else rows_of[first]] for first, (name, _) in sorted(own.items())]
+            else:
+                entry["file"] = own[0][0]
             if f["deleted"]:
-                fresh.append(dict(f, id=next_id, file=name, bytes=size, rows=rows_left, deleted=0))
+                fresh.append(entry | {"id": next_id})
                 next_id += 1
             else:
-                made.append(dict(f, file=name, bytes=size))
+                made.append(entry)
         return self._commit(base, "backfill", schema=json.loads(struct.json()), fragments=made + fresh, deletes=[], next_fragment=next_id, indexes={k: v for k, v in base.indexes.items() if v["column"].split(".")[0] not in columns and not fresh})
 
     def add_columns_from(self, view: DataFrame, columns: list[str] | None = None) -> Manifest:
@@ -581,7 +643,7 @@ class Table:
         """Files and folders that these versions name."""
         out: set[str] = set()
         for m in map(self.manifest, versions):
-            out |= {f["file"] for f in m.fragments} | set(m.deletes) | {i[k] for i in m.indexes.values() for k in ("place", "lengths") if i.get(k)}
+            out |= {name for f in m.fragments for name, *_ in pieces(f)} | set(m.deletes) | {i[k] for i in m.indexes.values() for k in ("place", "lengths") if i.get(k)}
         return out
 
     # -- branches and tags --------------------------------------------------------
