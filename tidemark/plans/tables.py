@@ -163,8 +163,7 @@ def change_feed(spark, t):
 
 @_register("SELECT o_orderkey, CAST(0 AS INTEGER) AS _fragid, row_number() OVER (ORDER BY o_orderkey) - 1 AS _rowaddr, row_number() OVER (ORDER BY o_orderkey) - 1 AS _rowid FROM orders")
 def row_addresses(spark, t):
-    rows = t("orders").select("o_orderkey").coalesce(1).sortWithinPartitions("o_orderkey")
-    return Table.create_as(spark, scratch(spark, "table"), rows).read(hidden=("_fragid", "_rowaddr", "_rowid"))
+    return _in_order(spark, t("orders").select("o_orderkey"), "o_orderkey").read(hidden=("_fragid", "_rowaddr", "_rowid"))
 
 
 @_register("SELECT count(*) AS n FROM orders WHERE o_orderkey % 7 <> 0")
