@@ -556,7 +556,7 @@ def test_addresses_and_fragments_do_not_depend_on_the_size(spark, monkeypatch):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
     for name in ("orders", "lineitem"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
-    for name in ("row_addresses", "row_address_pruning"):
+    for name in ("row_addresses", "row_address_pruning", "scan_metrics"):
         want = con.sql(tables.SQL[name])
         assert values(tables.QUERIES[name](spark, sf), *want.columns) == sorted(want.fetchall()), name
 

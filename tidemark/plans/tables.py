@@ -36,7 +36,8 @@ def _register(sql: str | None = None):
 
 
 def _table(spark, df: DataFrame, parts: int = 4, key: str | None = None, **kw) -> Table:
-    """A table of several fragments; with a key, each fragment holds a range of it."""
+    """A table of several fragments, of more if the rows need more tasks; with a key, each fragment holds a range of it."""
+    parts = max(parts, tasks_for(input_bytes(df)))
     df = df.repartitionByRange(parts, key).sortWithinPartitions(key) if key else df.repartition(parts)
     return Table.create_as(spark, scratch(spark, "table"), df, **kw)
 
@@ -550,7 +551,7 @@ def concurrent_commits(spark, t):
 
 @_register("SELECT 6 AS n_all, count(*) AS rows, true AS fewer FROM lineitem")
 def scan_metrics(spark, t):
-    table = _table(spark, t("lineitem"), parts=6, key="l_orderkey")
+    table = _table(spark, t("lineitem"), parts=6, key="l_orderkey", fragment_count=6)
     indexes.create_index(table, "z", "zonemap", ["l_orderkey"])
     report = table.scan_report("l_orderkey < 100")
     return spark.createDataFrame([(report["fragments"], report["rows"], report["scanned_fragments"] < 6)], "n_all int, rows long, fewer boolean")
