@@ -592,3 +592,21 @@ def test_fragments_of_several_files(spark):
     assert values(t.read(), "x") == [(x,) for x in rest]
     t.optimize(target_rows_per_fragment=1000)
     assert values(t.read(), "x") == [(x,) for x in rest] and len(t.manifest().fragments) == 1
+
+
+def test_text_index_is_built_by_tasks_of_bounded_size(spark, monkeypatch):
+    """One fragment of texts is indexed by as many tasks as its bytes need, without grouping postings; each term has all its places."""
+    texts = [(i, " ".join(f"w{(i * j) % 97}" for j in range(i % 50))) for i in range(300)] + [(300, ""), (301, None)]
+    t = Table.create_as(spark, scratch(spark, "posts"), spark.createDataFrame(texts, "id long, txt string").coalesce(1))
+    monkeypatch.setattr(table, "TASK_BYTES", 1 << 10)
+    indexes.create_index(t, "f", "fts", ["txt"])
+    place = t.store.path(t.manifest().indexes["f"]["place"])
+    posts = spark.read.parquet(place)
+    assert len(t.manifest().fragments) == 1 and len(posts.inputFiles()) >= 8
+    want = {}
+    for a, (_, text) in enumerate(texts):
+        for i, w in enumerate((text or "").split()):
+            want.setdefault((w, t.manifest().fragments[0]["id"] * 2**32 + a, len(text.split())), []).append(i)
+    assert {(r.term, r.rowaddr, r.length): r.places for r in posts.collect()} == want
+    plan = indexes._posts(t.read().select(F.col("txt").alias("v"), F.col("id").alias("rowaddr")), {})._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan

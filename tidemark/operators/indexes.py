@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalar import tokens
 from tidemark.operators import search
+from tidemark.sources.table import tasks_for
 
 METHODS = ("zonemap", "btree", "bitmap", "label_list", "ngram", "bloomfilter", "rtree", "fts", "inverted")
 OPTIONS = {
@@ -26,6 +27,8 @@ OPTIONS = {
     "fts": {"base_tokenizer", "language", "max_token_length", "lower_case", "stem", "remove_stop_words", "ascii_folding", "with_position"},
 }
 SHARED = {"num_segments", "train"}
+#: How much more a task of a build holds than the rows that it is made of: a posting for each word.
+SPREAD = {"fts": 2}
 
 
 def _addr(table, m) -> DataFrame:
@@ -65,7 +68,9 @@ def create_index(table, name: str, method: str, columns: list[str], **options) -
         if not train or options.get("build_mode") == "range":
             raise ValueError("num_segments goes with neither train=false nor range mode")
     fragments = [f["id"] for f in m.fragments] if train else []
+    size = sum(f["bytes"] for f in m.fragments) * SPREAD.get(method, 1)
     parts = min(len(fragments) or 1, int(segments) if segments else table.spark.sparkContext.defaultParallelism)
+    parts = parts if segments else max(parts, tasks_for(size))
     entry = {"name": name, "type": method, "column": column, "fragments": fragments, "options": {k: str(v) for k, v in options.items()}, "created_at": time.time()}
     if fragments:
         if method == "zonemap":
@@ -103,7 +108,7 @@ def _build(method: str, rows: DataFrame, parts: int, options: dict) -> DataFrame
         page = F.floor(F.col("rowaddr").bitwiseAND(F.lit(0xFFFFFFFF)) / size)
         boxes = rows.filter("v is not null").groupBy(F.shiftrightunsigned("rowaddr", 32).alias("fragment"), page.alias("page"))
         return boxes.agg(F.min("v.x").alias("x0"), F.max("v.x").alias("x1"), F.min("v.y").alias("y0"), F.max("v.y").alias("y1"), F.min("rowaddr").alias("a0"), F.max("rowaddr").alias("a1"))
-    return _posts(rows, options).repartitionByRange(parts, "term", "rowaddr").sortWithinPartitions("term", "rowaddr")  # a frequent term's rows go to several tasks
+    return _posts(rows.repartition(parts, "rowaddr"), options).repartitionByRange(parts, "term", "rowaddr").sortWithinPartitions("term", "rowaddr")  # a frequent term's rows go to several tasks
 
 
 def _true(value) -> bool:
@@ -121,9 +126,15 @@ def _analysis(options: dict) -> dict:
 
 
 def _posts(rows: DataFrame, options: dict) -> DataFrame:
-    words = rows.filter("v is not null").withColumn("w", tokens(F.col("v"), **_analysis(options))).withColumn("length", F.size("w"))
-    posts = words.select("rowaddr", "length", F.posexplode("w").alias("place", "term"))
-    return posts.groupBy("term", "rowaddr", "length").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    """The places of each term of each row, put together inside the row: no row is grouped or moved."""
+    words = rows.filter("v is not null").select("rowaddr", tokens(F.col("v"), **_analysis(options)).alias("w"))
+    words = words.select("rowaddr", F.sort_array(F.transform("w", lambda w, i: F.struct(w.alias("term"), i.alias("place")))).alias("w"))
+    at = lambda i: F.get(F.col("w"), i)
+    new = F.transform("w", lambda w, i: F.when((i == 0) | (w["term"] != at(i - 1)["term"]), i))  # where a term begins
+    words = words.select("rowaddr", "w", F.size("w").alias("length"), F.filter(new, lambda i: i.isNotNull()).alias("starts"))
+    last = lambda j: F.coalesce(F.get(F.col("starts"), j + 1), F.col("length")) - 1
+    own = F.transform("starts", lambda i, j: F.struct(at(i)["term"].alias("term"), F.transform(F.sequence(i, last(j)), lambda k: at(k)["place"]).alias("places")))
+    return words.select("rowaddr", "length", F.explode(own).alias("post")).select("post.term", "rowaddr", "length", "post.places")
 
 
 def _lengths(rows: DataFrame, options: dict) -> DataFrame:

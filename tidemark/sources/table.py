@@ -34,7 +34,7 @@ STORED = T.StructType().add("__rowid", "long").add("__created", "long").add("__u
 BROADCAST_ROWS = 1_000_000
 MAX_ROWS_PER_FILE = 1_000_000
 #: Bytes of files for one task of a shuffle of whole rows, which take several times as much there and in a sort.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 16 << 20
 #: Days after which a file that no version names is taken for the rest of a failed write.
 UNVERIFIED_DAYS = 7
 #: Manifests kept in memory by this process, the least used go first.
