@@ -610,3 +610,25 @@ def test_text_index_is_built_by_tasks_of_bounded_size(spark, monkeypatch):
     assert {(r.term, r.rowaddr, r.length): r.places for r in posts.collect()} == want
     plan = indexes._posts(t.read().select(F.col("txt").alias("v"), F.col("id").alias("rowaddr")), {})._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Exchange" not in plan
+
+
+#: Queries whose table was written by four or eight tasks whatever its size.
+DEALT = ["search_through_index"]
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_tables_of_queries_are_dealt_by_their_bytes(spark, monkeypatch, name):
+    """Tasks of few bytes stand for a large table: it is written by more than eight, and the rows are those of the SQL."""
+    import duckdb
+
+    from tidemark.plans import tables
+
+    monkeypatch.setattr(table, "TASK_BYTES", 8 << 10)
+    made, write = [], Table._write
+    monkeypatch.setattr(Table, "_write", lambda *a, **b: made.append(write(*a, **b)) or made[-1])
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for x in ("lineitem", "documents"):
+        con.sql(f"CREATE VIEW {x} AS SELECT * FROM '{sf}/{x}.parquet'")
+    want = con.sql(tables.SQL[name])
+    got = values(tables.QUERIES[name](spark, sf), *want.columns)
+    assert got == sorted(want.fetchall()) and len(made[0]) > 8
