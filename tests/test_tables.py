@@ -632,3 +632,30 @@ def test_tables_of_queries_are_dealt_by_their_bytes(spark, monkeypatch, name):
     want = con.sql(tables.SQL[name])
     got = values(tables.QUERIES[name](spark, sf), *want.columns)
     assert got == sorted(want.fetchall()) and len(made[0]) > 8
+
+
+def test_large_shards_are_written_and_joined_by_several_tasks(spark, monkeypatch):
+    """A shard's rows go to several files, and its join isn't one task; a small shard is still joined as it lies."""
+    from tidemark.operators import joins
+
+    rows = spark.range(4000).select((F.col("id") % 900).alias("k"), F.col("id").alias("v"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("s"))
+    rows.write.parquet(f := scratch(spark, "rows"))
+    monkeypatch.setattr(table, "TASK_BYTES", 1 << 10)
+    make = lambda df: Table.create_as(spark, scratch(spark, "shards"), df, sharding=["bucket", 2, "k"])
+    a, b = make(spark.read.parquet(f)), make(spark.read.parquet(f).filter("k < 600 AND v < 1800").select("k", F.col("v").alias("w")))
+    files = [[x["shard"] for x in t.manifest().fragments] for t in (a, b)]
+    assert all({*x} == {"0", "1"} and len(x) > 8 for x in files)
+    assert a.read().exceptAll(spark.read.parquet(f)).count() == 0 and a.count() == 4000
+    sizes = sorted(sum(x["bytes"] for t in (a, b) for x in t.manifest().fragments if x["shard"] == s) for s in "01")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit, exchanges in ((sizes[0] - 1, 2), (sizes[0], 2), (sizes[1], 0)):  # both large, one, none
+            monkeypatch.setattr(joins, "SHARD_BYTES", limit)
+            for how in ("inner", "left", "full"):
+                out = joins.shard_join(a, b, "k", how)
+                assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == exchanges, (limit, how)
+                want = a.read().join(b.read(), "k", how)
+                assert out.exceptAll(want).count() == 0 and out.count() == want.count() > 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

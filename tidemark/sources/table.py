@@ -410,7 +410,14 @@ class Table:
 
             key = bucket(shard[1], F.col(shard[2])) if shard[0] == "bucket" else F.col(shard[1])
             parts = shard[1] if shard[0] == "bucket" else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.withColumn("__shard", key.cast("string")).repartition(parts, "__shard").sortWithinPartitions(F.asc_nulls_first("__shard"))
+            df = df.withColumn("__shard", key.cast("string"))
+            tasks = tasks_for(input_bytes(df))
+            if tasks > (parts if shard[0] == "bucket" else 1):  # a shard's rows go to several tasks, and a task has few shards
+                own = [f.name for f in m.struct if isinstance(f.dataType, (T.NumericType, T.StringType, T.DateType, T.TimestampType))]
+                df = df.repartitionByRange(tasks, F.asc_nulls_first("__shard"), F.xxhash64(*own or [F.lit(0)]))
+            else:
+                df = df.repartition(parts, "__shard")
+            df = df.sortWithinPartitions(F.asc_nulls_first("__shard"))
         place = f"data/{uuid.uuid4().hex}"
         writer = df.write.option("maxRecordsPerFile", opts.max_row_per_file)
         (writer.partitionBy("__shard") if shard else writer).parquet(self.store.path(place))
