@@ -613,7 +613,7 @@ def test_text_index_is_built_by_tasks_of_bounded_size(spark, monkeypatch):
 
 
 #: Queries whose table was written by four or eight tasks whatever its size.
-DEALT = "search_through_index format_read".split()
+DEALT = "search_through_index format_read index_bloomfilter".split()
 
 
 @pytest.mark.parametrize("name", DEALT)

@@ -27,8 +27,8 @@ OPTIONS = {
     "fts": {"base_tokenizer", "language", "max_token_length", "lower_case", "stem", "remove_stop_words", "ascii_folding", "with_position"},
 }
 SHARED = {"num_segments", "train"}
-#: How much more a task of a build holds than the rows that it is made of: a posting for each word.
-SPREAD = {"fts": 2}
+#: How much more a task of a build holds than the rows that it is made of: a posting for each word, four bits for each row.
+SPREAD = {"fts": 2, "bloomfilter": 4}
 
 
 def _addr(table, m) -> DataFrame:
@@ -100,7 +100,7 @@ def _build(method: str, rows: DataFrame, parts: int, options: dict) -> DataFrame
     if method == "ngram":
         return _bitmaps(rows.filter("v is not null").select(F.explode(F.array_distinct(trigrams(F.col("v")))).alias("v"), "rowaddr"))
     if method == "bloomfilter":
-        return _blooms(rows, int(options.get("number_of_items", 8192)))
+        return _blooms(rows, int(options.get("number_of_items", 8192)), parts)
     if method == "rtree":
         size = int(options.get("page_size", 4096))
         if size < 2:
@@ -152,11 +152,12 @@ def _bitmaps(rows: DataFrame) -> DataFrame:
     return at.groupBy("v", "block").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).repartitionByRange("v", "block").sortWithinPartitions("v", "block")
 
 
-def _blooms(rows: DataFrame, items: int) -> DataFrame:
-    """A fixed-size bit set of four hashes for every block of ``items`` rows."""
+def _blooms(rows: DataFrame, items: int, tasks: int) -> DataFrame:
+    """A fixed-size bit set of four hashes for every block of ``items`` rows; a block's rows are dealt to one task."""
     block = F.floor(F.col("rowaddr").bitwiseAND(F.lit(0xFFFFFFFF)) / items)
+    rows = rows.filter("v is not null").select("v", F.shiftrightunsigned("rowaddr", 32).alias("fragment"), block.alias("block")).repartition(tasks, "fragment", "block")
     spread = F.explode(F.array(*[F.pmod(F.xxhash64("v", F.lit(i)), F.lit(4 * 8 * 4096)) for i in range(4)]))
-    bits = rows.filter("v is not null").select(F.shiftrightunsigned("rowaddr", 32).alias("fragment"), block.alias("block"), spread.alias("h")).distinct()
+    bits = rows.select("fragment", "block", spread.alias("h")).distinct()
     parts = bits.select("fragment", "block", F.expr("bitmap_bucket_number(h + 1)").alias("part"), F.expr("bitmap_bit_position(h + 1)").alias("bit"))
     return parts.groupBy("fragment", "block", "part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).withColumn("items", F.lit(items))
 
