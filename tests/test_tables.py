@@ -613,7 +613,7 @@ def test_text_index_is_built_by_tasks_of_bounded_size(spark, monkeypatch):
 
 
 #: Queries whose table was written by four or eight tasks whatever its size.
-DEALT = "search_through_index format_read index_bloomfilter limit_pruning tpch_q1 zonemap_pruning match_and search_bm25 match_phrase".split()
+DEALT = "search_through_index format_read index_bloomfilter limit_pruning tpch_q1 zonemap_pruning match_and search_bm25 match_phrase multi_match".split()
 
 
 @pytest.mark.parametrize("name", DEALT)
